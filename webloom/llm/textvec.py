@@ -20,6 +20,8 @@ _POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Word separators: space and \t \n \v \f \r.
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Separators of normalised words: all ASCII but letters and digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,10 +84,10 @@ def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
 class Words:
     """Words ([^\\x20\\x09-\\x0D]+) of every row: starts, ends, hashes, and rows' offsets into them."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _IS_SPACE):
         n = len(data)
         solid = np.zeros(n + 2, bool)
-        solid[1 : n + 1] = ~_IS_SPACE[data]
+        solid[1 : n + 1] = ~space[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         here = solid[1 : n + 1]
