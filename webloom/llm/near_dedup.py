@@ -2,13 +2,15 @@
 
 1. One Arrow pass turns every whole text into its set of distinct word shingles (64-bit hashes), keyed by a 128-bit
    digest of the set, BINS one-permutation minima (densified: an empty bin copies the bin that its own fixed probe
-   sequence reaches first), BANDS band keys and a 1-bit sketch of the minima.
+   sequence reaches first), BANDS band keys and a parity sketch of the set.
 2. Texts with equal sets fold into one class (a grouped minimum), so copies never meet each other in a bucket.
 3. In every bucket all classes are joined to one centre chosen by hash: a bucket of n gives n - 1 candidates.
 4. Candidates are confirmed on the full shingle sets; confirmed edges give components.
 5. What a star leaves open is looked at again: in each bucket that still holds several components, new stars are laid,
    then every pair of classes of different components whose sketches do not rule the link out is confirmed.  So a
-   bucket's centre never hides a link between two others, and nothing is capped.
+   bucket's centre never hides a link between two others, and nothing is capped.  The sketches rule out nothing that is
+   a link: each shingle that only one of two sets has changes one bit, so the sketches differ in at most as many bits
+   as there are such shingles, and these are at most (|A| + |B|) * (100 - percent) / (100 + percent) for a link.
 
 A pair at the threshold J = 0.85 shares no bucket with probability (1 - J^ROWS)^BANDS, about 2e-7.
 Defined results: null, empty and blank texts have an empty set, component doc_id and kept; repeated rows of one doc_id
@@ -29,11 +31,10 @@ BITS = 9
 BINS = 1 << BITS
 ROWS = 8
 BANDS = 48
-#: Words of a sketch; a pair with more different bits than SKETCH_MOST cannot reach the threshold (over 6 sigma).
-SKETCH = BINS // 64
-SKETCH_MOST = 110
+#: 64-bit words of a sketch: bit h of it tells whether an odd number of the set's shingles hash to h.
+SKETCH = 8
 #: Rounds of new stars before the rest is looked at pair by pair.
-STARS = 2
+STARS = 1
 
 _PROBES = np.stack([np.random.default_rng(7).permutation(BINS * 64)[k * BINS : (k + 1) * BINS] % BINS for k in range(64)])
 
@@ -85,7 +86,9 @@ def _signatures(width: int):
                     for k in range(ROWS):
                         key = mix(key ^ minima[:, band * ROWS + k], 2)
                     keys[:, band] = key
-                bits = np.packbits((mix(minima, 3) >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
+                bit = np.repeat(np.arange(len(sizes)), sizes) * (SKETCH * 64) + (mix(values, 3) % np.uint64(SKETCH * 64)).astype(np.int64)
+                odd = (np.bincount(bit, minlength=len(sizes) * SKETCH * 64) & 1).astype(np.uint8).reshape(len(sizes), SKETCH * 64)
+                bits = np.packbits(odd, axis=1).view(np.int64)
                 as_list = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(x).reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(digests[0]), pa.array(digests[1]), as_list(keys.view(np.int64)), as_list(bits)], ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
 
@@ -143,14 +146,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
         one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
         return session.written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
 
-    edges = confirmed(stars)
-    together = components(edges)
+    together = components(confirmed(stars))
     for step in range(STARS + 1):
         pairs = _still_open(shared, together, reps, percent, step)
         more = confirmed(pairs)
         if more.limit(1).count():
-            edges = edges.union(more)
-            together = components(edges)
+            together = components(together.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     moved = classes.join(together, classes.rep == together.node, "left").where("copies > 1 OR node IS NOT NULL")
     moved = moved.select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     placed = found.join(moved, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -177,7 +178,7 @@ def _still_open(shared: DataFrame, together: DataFrame, reps: DataFrame, percent
     other = left.where(F.xxhash64("doc_id", "bucket", F.lit(step)) == F.col("chosen")) if step < STARS else left
     unlike = " + ".join(f"bit_count(l.s{k} ^ r.s{k})" for k in range(SKETCH))
     apart = "l.comp <> r.comp" if step < STARS else "l.comp < r.comp"
-    near = left.alias("l").join(other.alias("r"), F.expr(f"l.bucket = r.bucket AND {apart} AND {unlike} <= {SKETCH_MOST}")).where(_sizes_fit("l.n", "r.n", percent))
+    near = left.alias("l").join(other.alias("r"), F.expr(f"l.bucket = r.bucket AND {apart} AND ({unlike}) * {100 + percent} <= (l.n + r.n) * {100 - percent}")).where(_sizes_fit("l.n", "r.n", percent))
     return near.select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b")).distinct()
 
 
