@@ -62,7 +62,7 @@ def chosen_file(video: Column, most: int) -> Column:
 
 def from_api(responses: DataFrame, most: int, url: str = "url", body: str = "body") -> DataFrame:
     """(parent, url, kind) that API responses name: videos and the next page of a listing, or a video's file and pictures."""
-    rows = responses.select(F.col(url).alias("parent"), F.from_json(F.col(body).cast("string"), VIDEO.replace("struct<", "", 1)[:-1]).alias("v"))
+    rows = responses.select(F.col(url).alias("parent"), F.from_json(F.col(body).cast("string"), VIDEO).alias("v"))
     start = F.coalesce(F.regexp_extract("parent", r"[?&]start=(\d+)", 1).try_cast("bigint"), F.lit(0))
     count = F.coalesce(F.nullif(F.regexp_extract("parent", r"[?&]count=(\d+)", 1).try_cast("bigint"), F.lit(0)), F.lit(PAGE_SIZE))
     entry = lambda u, k: F.struct(u.alias("url"), F.lit(k).alias("kind"))

@@ -139,7 +139,7 @@ def best_candidate(spark, folder):
 
 
 @register("""WITH RECURSIVE n AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN 'done' ELSE 'redirect' END AS status, CASE WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey = 24 THEN 21 WHEN n_nationkey % 5 = 4 THEN n_nationkey - 3 WHEN n_nationkey % 5 = 1 AND n_nationkey < 10 THEN n_nationkey - 1 ELSE n_nationkey + 1 END AS t FROM nation),
-w AS (SELECT k AS start, k AS cur, [k] AS seen, NULL::INTEGER AS target, 0 AS hop, NULL AS outcome FROM n
+w AS (SELECT k AS start, k AS cur, [k] AS seen, NULL::INTEGER AS target, 0 AS hop, NULL::VARCHAR AS outcome FROM n
       UNION ALL SELECT w.start, coalesce(n.t, w.cur), CASE WHEN n.t IS NULL THEN seen ELSE list_append(seen, n.t) END, CASE WHEN n.t IS NULL OR list_contains(seen, n.t) THEN target ELSE n.t END, hop + 1,
                 CASE WHEN n.t IS NULL THEN 'redirect' WHEN list_contains(seen, n.t) THEN 'loop' END
       FROM w LEFT JOIN n ON n.k = w.cur AND n.status = 'redirect' WHERE w.outcome IS NULL AND hop < 10),
