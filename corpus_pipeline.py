@@ -19,14 +19,16 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or like no learned language, go."""
-    judged = language_id.predict(docs, language_id.train(docs), passing=True)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("phrase_rate") <= language_id.FOREIGN)).select(*docs.columns)
+    lang, score, rate = (session.free(n, *docs.columns) for n in ("lang_pred", "score", "phrase_rate"))
+    judged = language_id.predict(docs, language_id.train(docs), passing=True, names=(lang, score, rate))
+    return judged.where((F.col(lang) != "und") & (F.col(rate) <= language_id.FOREIGN)).select(*docs.columns)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs go from the texts; a document of which nothing is left goes."""
-    cut = line_dedup.dedup_lines(docs).where((F.col("lines_deleted") == 0) | F.col("text").rlike(r"\S"))
-    return cut.withColumn("n_chars", F.when(F.col("lines_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n = session.free("lines_deleted", *docs.columns)
+    cut = line_dedup.dedup_lines(docs, count_col=n).where((F.col(n) == 0) | F.col("text").rlike(r"\S"))
+    return cut.withColumn("n_chars", F.when(F.col(n) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ def odd(spark):
 
     df = spark.createDataFrame(ODD, "doc_id bigint, text string")
     # Columns whose names clash with those the operators use inside.
-    return df.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("bigint").alias("n_chars"), F.lit(0).alias("id"), F.lit(0).alias("bucket"), F.lit("x").alias("edges"), F.lit(1).alias("component"), F.lit("k").alias("n_tokens"))
+    return df.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("bigint").alias("n_chars"), F.lit(0).alias("id"), F.lit(0).alias("bucket"), F.lit("x").alias("edges"), F.lit(1).alias("component"), F.lit("k").alias("n_tokens"), *[F.lit(0).alias(n) for n in ("key", "tie", "cuts", "lines_deleted", "score", "lang_pred", "phrase_rate", "part", "guest", "a", "b", "ids")])
 
 
 @pytest.fixture(scope="session")

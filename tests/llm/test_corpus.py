@@ -99,10 +99,7 @@ def brute_lines(rows, least=line_dedup.LEAST_WORDS):
             while j < len(lines) and n < least:
                 n += words[j]
                 j += 1
-            # A passage ends before the first line after it that has words, so trailing empty lines belong to it.
-            while j < len(lines) and words[j] == 0 and n >= least:
-                break
-            if n >= least and words[i]:
+            if n >= least:
                 passage = tuple(lines[i:j])
                 if passage in seen:
                     gone |= set(range(i, j))

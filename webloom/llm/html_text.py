@@ -211,7 +211,7 @@ def article(page: str) -> str:
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The kept columns, text and n_chars (code points) of every whole page."""
     session.arrow(pages.sparkSession)
-    source = pages.select(F.col(html_col).cast("string").alias("html"), *keep)
+    source = pages.select(F.col(html_col).cast("string").alias(session.free("html", *keep)), *keep)
 
     def run(batches):
         for batch in batches:

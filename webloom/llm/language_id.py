@@ -193,13 +193,13 @@ def train(docs: DataFrame) -> Model:
     return Model({k: v for k, v in texts.items() if v})
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", passing: bool = False) -> DataFrame:
-    """docs' ids (or all its columns if passing) with lang_pred, score and phrase_rate of every whole text."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", passing: bool = False, names: tuple[str, str, str] = ("lang_pred", "score", "phrase_rate")) -> DataFrame:
+    """docs' ids (or all its columns if passing) with language, score and phrase rate of every whole text under `names`."""
     spark = docs.sparkSession
     session.arrow(spark)
     shared = spark.sparkContext.broadcast(model)
     columns = docs.columns if passing else [id_col]
-    source = docs.select(F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in columns])
+    source = docs.select(F.col(text_col).cast("string").alias(session.free("text", *columns)), *[F.col(c) for c in columns])
 
     def run(batches):
         judge = shared.value.judge
@@ -207,10 +207,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for a, b in slices(batch.column(0)):
                 part = batch.slice(a, b - a)
                 lang, score, rate = judge([t or "" for t in part.column(0).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], [*batch.schema.names[1:], "lang_pred", "score", "phrase_rate"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score), pa.array(rate)], [*batch.schema.names[1:], *names])
 
     schema = docs.select(*columns).schema
-    for name, kind in (("lang_pred", "string"), ("score", "double"), ("phrase_rate", "double")):
+    for name, kind in zip(names, ("string", "double", "double")):
         schema = schema.add(name, kind)
     return source.mapInArrow(run, schema)
 

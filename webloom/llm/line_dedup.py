@@ -31,8 +31,9 @@ LEAST_WORDS = 50
 _DOC = ["key", "tie"]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumns({"key": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "tie": F.xxhash64(F.col(text_col))})
+def _key(id_col: str, text_col: str) -> list:
+    """Columns that tell documents apart and give their order."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.xxhash64(F.col(text_col)).alias("tie")]
 
 
 def _ranks(keys: DataFrame, columns: list[str]) -> DataFrame:
@@ -50,7 +51,7 @@ def passages(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> D
 
     last is null where the repeated lines end before the passage has its words.
     """
-    lines = _keyed(docs.where(F.col(text_col).isNotNull()), id_col, text_col).select(*_DOC, F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
+    lines = docs.where(F.col(text_col).isNotNull()).select(*_key(id_col, text_col), F.col(text_col).alias("text")).select(*_DOC, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     words = F.expr("IF(line = '', 0, length(line) - length(replace(line, ' ', '')) + 1)")
     lines = session.written(lines.select(*_DOC, "pos", F.xxhash64("line").alias("a"), F.hash("line").alias("b"), words.alias("words")), "lines")
     ids = session.written(_ranks(_repeated(lines, ["a", "b"]), ["a", "b"]), "line-ids")
@@ -92,11 +93,10 @@ def _renamed(pairs: DataFrame) -> DataFrame:
     return made.select(F.col("x").alias("rank"), F.col("y").alias("next"), F.col("rank").alias("to"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with later copies of repeated line runs cut out of the text, and lines_deleted, their number of lines."""
-    taken = {"key", "tie", "cuts", "lines_deleted"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are names of this operator; rename them first")
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, count_col: str = "lines_deleted") -> DataFrame:
+    """docs with later copies of repeated line runs cut out of the text, and their number of lines as count_col, which
+    takes the place of a column of that name."""
+    key, tie, cut = (session.free(n, *docs.columns) for n in ("key", "tie", "cuts"))
     copies = later_copies(docs, id_col, text_col, least_words)
     by_doc = Window.partitionBy(*_DOC).orderBy("pos", "last")
     # Passages that touch or overlap become one cut.
@@ -104,16 +104,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuts = copies.withColumn("fresh", F.when(F.col("pos") <= reach + 1, 0).otherwise(1)).withColumn("cut", F.sum("fresh").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
     cuts = cuts.groupBy(*_DOC, "cut").agg(F.min("pos").alias("a"), F.max("last").alias("b"))
     cuts = cuts.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cuts"))
-    joined = _keyed(docs, id_col, text_col).join(cuts, _DOC, "left")
+    own = dict(zip((key, tie), _key(id_col, text_col)))
+    joined = docs.withColumns(own).join(cuts.withColumnsRenamed({"key": key, "tie": tie, "cuts": cut}), [key, tie], "left")
     # What lies between the cuts: from the end of one to the start of the next.
     kept = F.expr(f"""
         transform(array(split({_quoted(text_col)}, '\\n', -1)), line ->
             array_join(flatten(transform(
-                arrays_zip(concat(array(0), transform(cuts, c -> c.b + 1)), concat(transform(cuts, c -> c.a), array(size(line)))),
+                arrays_zip(concat(array(0), transform({cut}, c -> c.b + 1)), concat(transform({cut}, c -> c.a), array(size(line)))),
                 g -> slice(line, g.`0` + 1, greatest(g.`1` - g.`0`, 0)))), '\\n'))[0]""")
-    deleted = F.expr("coalesce(aggregate(cuts, 0, (n, c) -> n + c.b - c.a + 1), 0)")
-    out = joined.withColumns({text_col: F.when(F.col("cuts").isNull(), F.col(text_col)).otherwise(kept), "lines_deleted": deleted})
-    return out.select(*docs.columns, "lines_deleted")
+    deleted = F.expr(f"coalesce(aggregate({cut}, 0, (n, c) -> n + c.b - c.a + 1), 0)")
+    text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
+    return joined.select(*[text if c == text_col else F.col(c) for c in docs.columns if c != count_col], deleted.alias(count_col))
 
 
 def _quoted(name: str) -> str:

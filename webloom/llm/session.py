@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def arrow(spark: SparkSession) -> None:
@@ -39,13 +39,17 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(name: str, *taken: str) -> str:
+    """name, with underscores behind it until it is none of the taken column names (in any case)."""
+    names = {t.lower() for t in taken}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
-
-
-def text_of(name: str = "text"):
-    return F.col(name).cast("string").alias(name)

@@ -141,13 +141,14 @@ def train(table: DataFrame, url_col: str = "url", label_col: str = "blocked") ->
 
 
 def judge(pages: DataFrame, model: Model, rules=RULES, url_col: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """The kept columns, host, path, rule, verdict and the model's score of every URL."""
+    """The kept columns (with underscores behind names that clash), host, path, rule, verdict and score of every URL."""
     spark = pages.sparkSession
     session.arrow(spark)
     shared = spark.sparkContext.broadcast(model)
+    kept = [F.col(c).alias(session.free(c, "host", "path", "rule", "verdict", "score")) for c in keep]
     host, path = host_and_path(url_col)
-    rows = pages.select(*keep, host, path).withColumn("fit", rule_column(rules))
-    rows = rows.select(marked().alias("m"), *keep, "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("verdict"))
+    rows = pages.select(F.struct(*kept).alias("kept"), host, path).withColumn("fit", rule_column(rules))
+    rows = rows.select(marked().alias("marked_"), "kept.*", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("verdict"))
 
     def run(batches):
         for batch in batches:
@@ -155,7 +156,7 @@ def judge(pages: DataFrame, model: Model, rules=RULES, url_col: str = "url", kee
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(shared.value.score(part.column(0)))], [*batch.schema.names[1:], "score"])
 
-    out = rows.mapInArrow(run, rows.drop("m").schema.add("score", "double"))
+    out = rows.mapInArrow(run, rows.drop("marked_").schema.add("score", "double"))
     method = F.when((F.col("score") >= THRESHOLD) & ((F.col("host") != "") | (F.col("path") != "")), "block").otherwise("allow")
     return out.withColumn("verdict", F.coalesce("verdict", method))
 
