@@ -5,7 +5,7 @@ the least hash of their id, and at most MAX_LANGUAGES languages by number of doc
 language.  Prediction: a text is parsed against every automaton into longest matches; a phrase ends where no
 labelled text of the language continues it.  The language with the fewest phrases per symbol wins.
 
-The automata are stored as complete tables: a cell holds the next state and whether a phrase ended there, so a batch
+The automata are stored as complete tables: a cell holds the next state and how many phrases ended there, so a batch
 of texts is parsed in lockstep, one table read for each symbol.  Texts are parsed in windows of WINDOW symbols that all
 start at the root: no text is cut short, and each window adds at most one phrase, alike for every language.
 
@@ -98,11 +98,13 @@ class Model:
             self.tables.append(self._complete(suffix_automaton([c for text in codes for c in [*text.tolist(), SPACE]], self.symbols)))
 
     def _complete(self, table: np.ndarray) -> np.ndarray:
-        """Flat cells: (next state's row << 1) | phrase ended.  A missing step ends the phrase and is taken from the root."""
-        root = np.where(table[0] < 0, 0, table[0])
-        next_ = np.where(table < 0, root[None, :], table)
-        cells = (next_.astype(np.int64) * self.symbols << 1) | (table < 0)
-        cells[:, PAD] = np.arange(len(table)) * self.symbols << 1
+        """Flat cells: (next state's row << 2) | phrases that end.  A missing step ends the phrase and is taken from the
+        root; a symbol that the root has no step for is a phrase of its own."""
+        unseen = table[0] < 0
+        next_ = np.where(table < 0, np.where(unseen, 0, table[0])[None, :], table)
+        ended = (table < 0) * ((np.arange(len(table)) > 0)[:, None].astype(np.int64) + unseen[None, :])
+        cells = (next_.astype(np.int64) * self.symbols << 2) | ended
+        cells[:, PAD] = np.arange(len(table)) * self.symbols << 2
         return cells.astype(np.int32).reshape(-1)
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -151,8 +153,8 @@ class Model:
             ended = np.zeros(steps.shape[1], np.int32)
             for row in steps:
                 cell = table.take(state + row)
-                ended += cell & 1
-                state = cell >> 1
+                ended += cell & 3
+                state = cell >> 2
             ended += state > 0  # the phrase that the window ends
             total = np.concatenate([[0], np.cumsum(ended)])
             out[k] = total[at[1:]] - total[at[:-1]]

@@ -28,7 +28,7 @@ from .textvec import slices, utf8
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("outside", *KINDS)
 NEAR = 2
-SURE = 0.9
+SURE = 0.7
 ROUNDS = 12
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
