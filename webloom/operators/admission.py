@@ -62,6 +62,11 @@ def excluded(rules: Rules, *columns: str) -> Column:
     return ~any_match(rules.include, *columns) & any_match(rules.exclude, *columns)
 
 
+def follows(rules: Rules, *columns: str) -> Column:
+    """Whether the links of a stored page are looked at."""
+    return ~any_match(rules.no_follow, *columns)
+
+
 def judged(links: DataFrame, rules: Rules, robots_rules: DataFrame | None = None, clean_params: DataFrame | None = None) -> DataFrame:
     """links with url, alt, kind, priority and fate: `accept`, `embed`, `drop` (silent), or the reason of a refusal.
 

@@ -67,12 +67,29 @@ def merged(known: DataFrame, new: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame) -> DataFrame:
     """rows of merged() with ids for the new ones: increasing with seq, from a range-partitioned sort (no single task)."""
     old, new = rows.where("id IS NOT NULL"), rows.where("id IS NULL").drop("id")
-    start = F.broadcast(old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top")))
-    new = new.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("__n", F.monotonically_increasing_id() + 1)
-    new = new.crossJoin(start).withColumn("id", F.col("__top") + F.col("__n")).drop("__top", "__n")  # one row of start
+    top = old.agg(F.max("id")).first()[0] or 0
+    new = new.repartitionByRange("seq").sortWithinPartitions("seq").withColumn("id", F.monotonically_increasing_id() + (top + 1))
     return old.unionByName(new.select(*old.columns))
 
 
+def added_embeds(known: DataFrame, new: DataFrame) -> DataFrame:
+    """Players (url, page_url, status, seq): known ones stay, new ones are added once, as first found."""
+    fresh = new.groupBy("url").agg(F.min_by("page_url", "seq").alias("page_url"), F.min("seq").alias("seq")).join(known.select("url"), "url", "left_anti")
+    return known.unionByName(fresh.withColumn("status", F.lit("new")).select(*known.columns))
+
+
+# Content types whose bodies are read for links.
+READ_FOR_LINKS = (
+    "text/html application/xhtml+xml text/css application/xml text/xml application/json application/ld+json application/javascript text/javascript"
+    " application/x-javascript audio/x-mpegurl audio/mpegurl application/vnd.apple.mpegurl application/x-mpegurl text/plain application/x-gzip application/gzip"
+).split()
+
+
+def read_for_links(content_type: str, url: str) -> Column:
+    """Whether a body is read for links: by its type, or as a playlist or sitemap by its address."""
+    return urls.base_content_type(content_type).isin(READ_FOR_LINKS) | F.lower(F.regexp_extract(url, "^[^?#]*", 0)).rlike(r"\.(m3u8?|xml|xml\.gz)$")
+
+
 def known_urls(queue: DataFrame, asked: DataFrame) -> DataFrame:
     """Those of the asked URLs that the queue has."""
     return asked.join(queue.select("url"), "url", "left_semi")

@@ -7,7 +7,6 @@ sorted term column, which the Parquet scan prunes by its statistics.
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -95,16 +94,15 @@ def matches(index: DataFrame, query: Query) -> DataFrame:
 
 def ranked(index: DataFrame, lengths: DataFrame, query: Query) -> DataFrame:
     """(doc_id, score), lower is better: BM25 over title (weight 8) and body (1); a term's idf counts all documents with it."""
-    total = lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+    count, mean = lengths.agg(F.count("*"), F.avg("length")).first()
     if query.phrase:
         df = [_phrase_rows(index.where(F.col("term").isin(*query.words)), query.words).agg(F.countDistinct("doc_id").alias("n")).withColumn("i", F.lit(0))]
     else:
         df = [index.where(_term(w, query.prefix(w))).agg(F.countDistinct("doc_id").alias("n")).withColumn("i", F.lit(i)) for i, w in enumerate(query.words)]
-    per_term = reduce(DataFrame.unionByName, df).crossJoin(total)  # one row of totals, one row for each query term
-    idf = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    per_term = per_term.select("i", "mean", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
+    idf = F.log((F.lit(count) - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    per_term = reduce(DataFrame.unionByName, df).select("i", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))  # one row for each query term
     scored = matches(index, query).join(F.broadcast(per_term), "i").join(lengths, "doc_id")
-    part = F.col("idf") * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    part = F.col("idf") * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
     return scored.groupBy("doc_id").agg((-F.sum(part)).alias("score"))
 
 
@@ -152,8 +150,3 @@ def refreshed(index: DataFrame, gone: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def needs_compaction(changes: int, rebuilt: bool) -> bool:
     return rebuilt or changes > 10_000
-
-
-def idf(docs: int, having: int) -> float:
-    value = math.log((docs - having + 0.5) / (having + 0.5))
-    return value if value > 0 else 1e-6

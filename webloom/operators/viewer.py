@@ -166,6 +166,12 @@ def stored_video(asked: DataFrame, embeds: DataFrame, site: urls.UrlRules, url:
     return joined.select(*asked.columns, F.coalesce("__exact", "__keyed").alias("path"))
 
 
+def page_media(queue: DataFrame) -> DataFrame:
+    """(parent_id, path) of the first stored media file found on each page."""
+    done = queue.where("status = 'done' AND kind = 'media' AND path IS NOT NULL AND parent_id IS NOT NULL")
+    return done.groupBy("parent_id").agg(F.min_by("path", "id").alias("path"))
+
+
 def byte_range(header: str, size: str) -> Column:
     """Struct (start, end) of a Range header within a file of the size; (-1, -1) if it cannot be met, null without one."""
     h = F.regexp_extract(header, r"(?i)^\s*bytes\s*=\s*(\d*)\s*-\s*(\d*)\s*$", 1)
