@@ -12,7 +12,7 @@ from webloom.llm.components import components
 
 def find(parent, x):
     while parent[x] != x:
-        x = parent[x] = parent[parent[x]]
+        x = parent[x]
     return x
 
 

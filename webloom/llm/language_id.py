@@ -184,7 +184,7 @@ def train(docs: DataFrame) -> Model:
     The first pass reads ids and languages only; its grouped minimum keeps one row for each language and slot.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "lang")
-    picked = rows.groupBy("lang", (F.xxhash64("doc_id") % SAMPLE_DOCS).alias("slot")).agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", F.lit(1)).alias("h"), F.col("doc_id"))).alias("first"))
+    picked = rows.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE_DOCS)).alias("slot")).agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", F.lit(1)).alias("h"), F.col("doc_id"))).alias("first"))
     per = picked.groupBy("lang").agg(F.sum("n").alias("n"), F.collect_list("first.doc_id").alias("ids")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     ids = sorted({i for r in per for i in r["ids"]})
     texts: dict[str, list[str]] = {r["lang"]: [] for r in per}
