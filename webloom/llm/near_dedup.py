@@ -184,3 +184,21 @@ def _still_open(shared: DataFrame, together: DataFrame, reps: DataFrame, percent
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(session.documents(spark, sf_dir, "doc_id", "text"), percent=85, width=3)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLE = f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS s FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT r.d, w.b FROM reached r JOIN ways w ON w.a = r.c),
+least AS (SELECT d, min(c) AS c FROM reached GROUP BY d)
+SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM sizes JOIN least ON d = doc_id
+"""

@@ -19,6 +19,6 @@ QUERIES = {
     "op10_token_counts": token_counts.query,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op5_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op5_line_dedup": line_dedup.ORACLE, "op8_minhash_near_dedup": near_dedup.ORACLE}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -31,6 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete the tables that written() made in this session's shared folder; for callers that have stored their results."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/webloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by written() that no later plan reads."""
     spark = df.sparkSession
