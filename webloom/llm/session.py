@@ -23,17 +23,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/webloom/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/webloom/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def cleanup(spark: SparkSession) -> None:
     """Delete the tables that written() made in this session's shared folder; for callers that have stored their results."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/webloom")
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
