@@ -21,12 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: every larger neighbour of a node is joined to the smallest node of its neighbourhood.
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.min("a")).alias("m"))
-        large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
+        large = session.joined_back(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: the node and its smaller neighbours are joined to the smallest of these.
-        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(low, large.a == low.u).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = session.written(small.union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = session.joined_back(large, low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = session.written(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         session.forget(edges)
         edges, before, state = after, state, _digest(after)
         if state == before:  # a step leaves the edges alone only when every component is a star around its least node

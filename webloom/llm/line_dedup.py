@@ -77,7 +77,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         settled = rows.where(f"last IS NOT NULL AND last - pos + 1 < {2 * width}").select(*_DOC, "pos", "last", F.col("rank").alias("x"), (F.col("last") - width + 1).alias("at"))
         named = settled.join(rows.select(*_DOC, F.col("pos").alias("at"), F.col("rank").alias("y")), [*_DOC, "at"]).select(*_DOC, "pos", "last", "x", "y", (F.col("last") - F.col("pos") + 1).alias("lines"))
         first = named.groupBy("lines", "x", "y").agg(F.min(F.struct(*_DOC, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        copies = named.join(first, ["lines", "x", "y"]).where(F.struct(*_DOC, "pos") > F.col("first")).select(*_DOC, "pos", "last")
+        copies = session.joined_back(named, first, "lines", "x", "y").where(F.struct(*_DOC, "pos") > F.col("first")).select(*_DOC, "pos", "last")
         out = copies if out is None else out.union(copies)
         if not rows.where(f"last - pos + 1 >= {2 * width}").limit(1).count():
             return out

@@ -166,14 +166,14 @@ def _crowded(reps: DataFrame) -> DataFrame:
     """(bucket, doc_id, n, chosen): rows of the buckets with two classes or more; chosen is their least hash."""
     rows = reps.select(F.explode("bands").alias("bucket"), "doc_id", "n")
     counts = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.xxhash64("doc_id", "bucket")).alias("chosen")).where("members > 1")
-    return rows.join(counts.drop("members"), "bucket")
+    return session.joined_back(rows, counts.drop("members"), "bucket")
 
 
 def _still_open(shared: DataFrame, together: DataFrame, reps: DataFrame, percent: int, step: int) -> DataFrame:
     """Pairs (a, b) of one bucket and different components: to a newly chosen centre, or all of them after STARS steps."""
     label = shared.join(together, shared.doc_id == together.node, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     mixed = label.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.xxhash64("doc_id", "bucket", F.lit(step))).alias("chosen")).where("low <> high")
-    left = label.join(mixed.select("bucket", "chosen"), "bucket")
+    left = session.joined_back(label, mixed.select("bucket", "chosen"), "bucket")
     left = session.written(left.join(reps.drop("bands", "k1", "k2"), "doc_id"), "open")
     other = left.where(F.xxhash64("doc_id", "bucket", F.lit(step)) == F.col("chosen")) if step < STARS else left
     unlike = " + ".join(f"bit_count(l.s{k} ^ r.s{k})" for k in range(SKETCH))

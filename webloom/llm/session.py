@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def arrow(spark: SparkSession) -> None:
@@ -50,6 +50,16 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def joined_back(rows: DataFrame, grouped: DataFrame, *keys: str) -> DataFrame:
+    """rows joined to a table that was grouped by the keys.
+
+    A join by the keys alone would reuse the grouping's partitions, and then a hot key's rows all meet in one task.  A hash
+    beside the keys makes it a join of two plain shuffles, whose large partitions AQE splits.
+    """
+    beside = F.hash(*keys)
+    return rows.withColumn("beside_", beside).join(grouped.withColumn("beside_", beside), [*keys, "beside_"]).drop("beside_")
+
+
 def free(name: str, *taken: str) -> str:
     """name, with underscores behind it until it is none of the taken column names (in any case)."""
     names = {t.lower() for t in taken}
