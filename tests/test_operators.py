@@ -69,7 +69,7 @@ def test_admission_chain(spark):
         (("/private/i.png", "asset"), "accept", "asset", 30), (("/my/x", "page"), "login", None, None), (("/deep", "page", 5), "depth", None, None), (("https://other.com/x", "page"), "drop", None, None), (("https://other.com/i.png", "asset"), "accept", "asset", 30),
         (("https://ads.com/i.png", "asset"), "drop", None, None), (("https://cdn.com/track/i.png", "asset"), "drop", None, None), (("https://other.com/f.pdf", "media"), "accept", "media", 50), (("https://other.com/f.pdf", "media", 1, 30, True), "drop", None, None),
         (("https://files.org/f", "page"), "accept", "media", 50), (("https://yt.com/embed/abc", "embed"), "embed", None, None), (("https://yt.com/share", "page"), "drop", None, None), (("https://yt.com/embed/", "embed"), "drop", None, None), (("/frame", "embed"), "accept", "page", 50),
-        (("/p", "page", 1, 30, True), "drop", None, None), (("/verse/3/16", "page"), "accept", "page", 50), (("https://v.e.com/w/abcdefg", "page"), "accept", "page", 50), (("https://v.e.com/about", "page"), "peertube", None, None),
+        (("/p", "page", 1, 30, True), "drop", None, None), (("/pf", "embed", 1, 30, True), "accept", "page", 50), (("/verse/3/16", "page"), "accept", "page", 50), (("https://v.e.com/w/abcdefg", "page"), "accept", "page", 50), (("https://v.e.com/about", "page"), "peertube", None, None),
     ]
     rules = robots.rules_table(spark.createDataFrame([("https://e.com", "User-agent: *\nDisallow: /private/")], "origin string, text string"), "a")
     judged = admission.judged(arriving(spark, [c[0] for c in cases]), RULES, rules).cache()
@@ -78,7 +78,7 @@ def test_admission_chain(spark):
         assert got[i]["fate"] == fate, (row, got[i])
         if fate == "accept":
             assert (got[i]["kind"], got[i]["priority"]) == (kind, priority), (row, got[i])
-    assert got[25]["url"] == "https://e.com/verse/3" and got[26]["url"] == "https://v.e.com/api/v1/videos/abcdefg"
+    assert got[26]["url"] == "https://e.com/verse/3" and got[27]["url"] == "https://v.e.com/api/v1/videos/abcdefg"
     skipped = {(r["reason"], r["prefix"]): (r["n"], r["example"]) for r in admission.skips(judged).collect()}
     assert skipped[("exclude", "forum")] == (1, "https://e.com/forum/1") and len(skipped) == 6
     twice = {(r["reason"], r["prefix"]): r["n"] for r in admission.added_skips(admission.skips(judged), admission.skips(judged)).collect()}

@@ -47,7 +47,7 @@ def queue_form(url: str) -> Column:
 
 
 def height(file: Column) -> Column:
-    return F.coalesce(F.expr("0").cast("int") + file["resolution"]["id"].try_cast("int"), F.lit(0))
+    return F.coalesce(file["resolution"]["id"].try_cast("int"), F.lit(0))
 
 
 def chosen_file(video: Column, most: int) -> Column:

@@ -91,32 +91,31 @@ def judged(links: DataFrame, rules: Rules, robots_rules: DataFrame | None = None
     else:
         df = df.withColumn("__allowed", F.lit(True))
     df = df.withColumns({"__d": robots.decoded("url"), "__ad": robots.decoded("alt")})
-    host, kind, inside = urls.host_of("url"), F.col("kind"), F.col("in_scope")
+    df = df.withColumn("__k", F.col("kind"))  # the kind as it came; the scope rules go by it, the later ones by the kind it becomes
+    host, came, kind, inside = urls.host_of("url"), F.col("__k"), F.col("kind"), F.col("in_scope")
     free = rules.external_assets & ~urls.blocked("url", rules.asset_blocklist) if rules.external_assets else F.lit(False)
     from_media_host = urls.host_within(host, rules.media_hosts)
     player = urls.host_within(host, rules.embed_hosts)
-    stays = from_media_host | ((kind == "asset") & free) | ((kind == "media") & free & ~F.col("external_parent"))
-    outside = F.when(player & ((kind == "embed") | urls.path_of("url").rlike(PLAYER_PATH)) & ~F.col("url").rlike(EMPTY_PLAYER), "embed").when(player | (kind == "embed") | ~stays, "drop")
-    df = df.withColumn("kind", F.when(~inside & from_media_host & ~player & (kind != "embed"), F.coalesce(urls.kind_by_extension("url"), F.lit("media"))).when(inside & (kind == "embed"), "page").otherwise(kind))
-    own = F.when(kind.isNull(), "drop")
+    stays = from_media_host | ((came == "asset") & free) | ((came == "media") & free & ~F.col("external_parent"))
+    outside = F.when(player & ((came == "embed") | urls.path_of("url").rlike(PLAYER_PATH)) & ~F.col("url").rlike(EMPTY_PLAYER), "embed").when(player | (came == "embed") | ~stays, "drop")
+    df = df.withColumn("kind", F.when(~inside & from_media_host & ~player & (came != "embed"), F.coalesce(urls.kind_by_extension("url"), F.lit("media"))).when(inside & (came == "embed"), "page").otherwise(came))
     fate = (
         F.when(F.col("url").isNull(), "drop")
         .when(F.col("__lost"), "peertube")
         .when(~inside & outside.isNotNull(), outside)
-        .when(inside & F.col("external_parent") & (kind == "page"), "drop")
+        .when(inside & F.col("external_parent") & (came == "page"), "drop")
         .when(excluded(rules, "url", "__d") | (F.col("alt").isNotNull() & excluded(rules, "alt", "__ad")), "exclude")
         .when(kind.isin("page", "sitemap") & dates.outside_dates("url", *rules.dates, rules.date_gates), "date")
         .when(inside & F.lit(rules.respect_robots) & (F.lit(rules.robots_for_all) | kind.isin("page", "sitemap")) & ~any_match(rules.robots_override, "url") & ~F.col("__allowed"), "robots")
         .when(F.lit(not rules.has_cookies) & any_match(rules.login, "url", "__d"), "login")
         .when(F.lit(rules.max_depth > 0) & (F.col("depth") > rules.max_depth), "depth")
-        .otherwise(F.coalesce(own, F.lit("accept")))
+        .otherwise("accept")
     )
     listed = F.coalesce(urls.first_value("url", rules.priorities, None, "__d").cast("int"), F.lit(rules.default_priority))
     ranked = F.when(kind == "asset", F.coalesce("parent_priority", F.lit(rules.asset_priority))).when(~inside & F.col("parent_priority").isNotNull(), F.greatest(listed, "parent_priority")).otherwise(listed)
     given = F.col("priority_override") if "priority_override" in links.columns else F.lit(None).cast("int")
-    # The scope rules see the kind before it is changed, so the fate is settled with the kind as it came.
     df = df.withColumn("priority", F.coalesce(given, ranked).cast("int")).withColumn("fate", fate)
-    return df.drop("__v", "__f", "__lost", "__allowed", "__d", "__ad")
+    return df.drop("__v", "__f", "__lost", "__allowed", "__d", "__ad", "__k")
 
 
 def within_query_cap(judged_links: DataFrame, rules: Rules, known: DataFrame, counts: DataFrame) -> DataFrame:

@@ -153,6 +153,5 @@ def variant_expand(spark, folder):
 def file_places(spark, folder):
     """Places of files for all pages, told apart without regard to case."""
     pages = read(spark, folder, "pages").select("page_id", urls.canonical_column(SITE, "url")["url"].alias("url"))
-    wanted = pages.withColumn("e", urls.content_extension("t") if "t" in pages.columns else F.lit(".html"))
-    wanted = wanted.select(F.col("page_id").alias("seq"), F.col("page_id").alias("id"), F.col("url").alias("salt"), urls.relative_path_column(F.col("url"), F.col("e"), F.lit(None).cast("string")).alias("path"))
+    wanted = pages.select(F.col("page_id").alias("seq"), F.col("page_id").alias("id"), F.col("url").alias("salt"), urls.relative_path_column(F.col("url"), F.lit(".html"), F.lit(None).cast("string")).alias("path"))
     return frontier.reserved_paths(wanted).select("id", "path", "path_key")
