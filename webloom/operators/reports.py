@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text, urls
+from ..sources import steps
 
 # Extensions of the catalogue's categories, in their order; sheet music also by its part of the site.
 CATEGORIES = {
@@ -111,7 +112,8 @@ def catalogue_pages(files: DataFrame, per_page: int = PER_PAGE) -> DataFrame:
     titles = rows.groupBy("__c", "__t").agg(F.count("*").alias("__n"))
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = titles.repartitionByRange(n, "__c", "__t").sortWithinPartitions("__c", "__t").withColumn("__o", F.monotonically_increasing_id())
-    part = spread.withColumn("__b", F.shiftright("__o", 33))
+    # Row ids follow the sampled ranges, so they are fixed in a table before two branches read them.
+    part = steps.written(spread, "titles").withColumn("__b", F.shiftright("__o", 33))
     inside = F.sum("__n").over(Window.partitionBy("__c", "__b").orderBy("__o").rowsBetween(Window.unboundedPreceding, -1))
     blocks = part.groupBy("__c", "__b").agg(F.sum("__n").alias("__s"))
     ahead = blocks.withColumn("__a", F.coalesce(F.sum("__s").over(Window.partitionBy("__c").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")

@@ -7,6 +7,7 @@ sorted term column, which the Parquet scan prunes by its statistics.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -81,29 +82,44 @@ def _phrase_rows(found: DataFrame, words) -> DataFrame:
     return whole.groupBy("doc_id", "col").agg(F.count("*").alias("tf"))
 
 
-def matches(index: DataFrame, query: Query) -> DataFrame:
-    """(doc_id, i, wtf): weighted frequency of each query term i in documents that have all of them."""
-    weighted = F.sum(F.col("tf") * F.when(F.col("col") == "title", TITLE_WEIGHT).otherwise(BODY_WEIGHT)).alias("wtf")
+def term_weights(index: DataFrame, query: Query) -> DataFrame:
+    """(doc_id, t0, t1, ..) of documents with any of the query's terms: the weighted frequency of each, null if it is not there.
+
+    One scan of the postings that any term wants, and one grouping by document.
+    """
+    weight = F.when(F.col("col") == "title", TITLE_WEIGHT).otherwise(BODY_WEIGHT) * F.col("tf")
     if query.phrase:
-        return _phrase_rows(index.where(F.col("term").isin(*query.words)), query.words).groupBy("doc_id").agg(weighted).withColumn("i", F.lit(0))
-    hits = [index.where(_term(w, query.prefix(w))).select("doc_id", "col", "tf", F.lit(i).alias("i")) for i, w in enumerate(query.words)]
-    per_term = reduce(DataFrame.unionByName, hits).groupBy("doc_id", "i").agg(weighted)
-    whole = per_term.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") == len(query.words))
-    return per_term.join(whole.select("doc_id"), "doc_id", "left_semi")
+        return _phrase_rows(index.where(F.col("term").isin(*query.words)), query.words).groupBy("doc_id").agg(F.sum(weight).alias("t0"))
+    wants = [_term(w, query.prefix(w)) for w in query.words]
+    hits = index.where(reduce(Column.__or__, wants))
+    return hits.groupBy("doc_id").agg(*[F.sum(F.when(w, weight)).alias(f"t{i}") for i, w in enumerate(wants)])
+
+
+def _terms(weights: DataFrame) -> list[Column]:
+    return [F.col(c) for c in weights.columns if c != "doc_id"]
+
+
+def _with_all(weights: DataFrame) -> DataFrame:
+    return weights.where(reduce(Column.__and__, [t.isNotNull() for t in _terms(weights)]))
+
+
+def matches(index: DataFrame, query: Query) -> DataFrame:
+    """(doc_id) of the documents that have all of the query's terms."""
+    return _with_all(term_weights(index, query)).select("doc_id")
 
 
 def ranked(index: DataFrame, lengths: DataFrame, query: Query) -> DataFrame:
-    """(doc_id, score), lower is better: BM25 over title (weight 8) and body (1); a term's idf counts all documents with it."""
+    """(doc_id, score), lower is better: BM25 over title (weight 8) and body (1); a term's idf counts all documents with it.
+
+    The number of documents, their mean length and each term's count come to the driver first: two numbers and one for a term.
+    """
     count, mean = lengths.agg(F.count("*"), F.avg("length")).first()
-    if query.phrase:
-        df = [_phrase_rows(index.where(F.col("term").isin(*query.words)), query.words).agg(F.countDistinct("doc_id").alias("n")).withColumn("i", F.lit(0))]
-    else:
-        df = [index.where(_term(w, query.prefix(w))).agg(F.countDistinct("doc_id").alias("n")).withColumn("i", F.lit(i)) for i, w in enumerate(query.words)]
-    idf = F.log((F.lit(count) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    per_term = reduce(DataFrame.unionByName, df).select("i", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))  # one row for each query term
-    scored = matches(index, query).join(F.broadcast(per_term), "i").join(lengths, "doc_id")
-    part = F.col("idf") * F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
-    return scored.groupBy("doc_id").agg((-F.sum(part)).alias("score"))
+    weights = term_weights(index, query)
+    having = weights.agg(*[F.count(t) for t in _terms(weights)]).first()
+    idf = [math.log((count - n + 0.5) / (n + 0.5)) for n in having]
+    long = K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0))
+    parts = [F.lit(x if x > 0 else 1e-6) * t * (K1 + 1) / (t + long) for x, t in zip(idf, _terms(weights))]
+    return _with_all(weights).join(lengths, "doc_id").select("doc_id", (-reduce(Column.__add__, parts)).alias("score"))
 
 
 def page_of(scores: DataFrame, limit: int = 30, offset: int = 0) -> DataFrame:
@@ -112,7 +128,7 @@ def page_of(scores: DataFrame, limit: int = 30, offset: int = 0) -> DataFrame:
 
 def capped_count(index: DataFrame, query: Query, cap: int = COUNT_CAP) -> DataFrame:
     """Number of matches, counted no further than cap + 1 (the feature: a viewer shows `1000+`)."""
-    return matches(index, query).select("doc_id").distinct().limit(cap + 1).agg(F.count("*").alias("n"))
+    return matches(index, query).limit(cap + 1).agg(F.count("*").alias("n"))
 
 
 def snippet(body: str, query: Query, size: int = SNIPPET_TOKENS) -> Column:

@@ -43,13 +43,13 @@ lengths AS (SELECT doc_id, len(t) + len(b) AS length FROM docs)"""
 @register(f"WITH {TOKENS} SELECT doc_id FROM words GROUP BY doc_id HAVING count(*) FILTER (starts_with(term, 'the')) > 0 AND count(*) FILTER (starts_with(term, 'tion')) > 0")
 def fts_prefix_and(spark, folder):
     postings, _ = index(spark, folder)
-    return search.matches(postings, search.parse("The tion")).select("doc_id").distinct()
+    return search.matches(postings, search.parse("The tion"))
 
 
 @register(f"WITH {TOKENS} SELECT doc_id FROM docs WHERE contains(' ' || array_to_string(b, ' ') || ' ', ' of the ') OR contains(' ' || array_to_string(t, ' ') || ' ', ' of the ')")
 def fts_phrase(spark, folder):
     postings, _ = index(spark, folder)
-    return search.matches(postings, search.parse('"of the"')).select("doc_id").distinct()
+    return search.matches(postings, search.parse('"of the"'))
 
 
 @register(f"""WITH {TOKENS}, q AS (SELECT * FROM (VALUES (0, 'the'), (1, 'tion')) AS q(i, p)),
