@@ -1,12 +1,13 @@
-"""Session helpers: Arrow batch sizes, and tables written to the folder that the cluster shares."""
+"""Session helpers: Arrow batch sizes, tables written between steps, joins that stay splittable."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.steps import cleanup, forget, written
+
+__all__ = ["arrow", "cleanup", "documents", "forget", "free", "joined_back", "partitions", "written"]
+
 
 def arrow(spark: SparkSession) -> None:
     """Bound the Arrow batches by rows and bytes, so that long texts do not fill a worker's memory."""
@@ -14,42 +15,6 @@ def arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where the cluster names none (tests, local mode), a folder of this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='webloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def own_folder(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    return f"{shared_folder(spark)}/webloom/{spark.sparkContext.applicationId}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cleanup(spark: SparkSession) -> None:
-    """Delete the tables that written() made in this session's shared folder; for callers that have stored their results."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table made by written() that no later plan reads."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/webloom/" in f}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def joined_back(rows: DataFrame, grouped: DataFrame, *keys: str) -> DataFrame:
     """rows joined to a table that was grouped by the keys.
 
