@@ -195,7 +195,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         def run(batches):
             items = shared.value
             for batch in batches:
-                for a, b in slices(batch.column(1), 8 << 20):
+                for a, b in slices(batch.column(1), 2 << 20):
                     part = batch.slice(a, b - a)
                     found = items.matches(Words(*utf8(part.column(1)), space=NOT_ALNUM))
                     rows = [(r, i, d, s, e) for r, k, d, s, e in found for i in items.ids[k]]
