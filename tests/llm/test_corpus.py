@@ -129,6 +129,38 @@ def test_line_runs_equal_the_definition(spark):
     assert sum(n for _, n in want.values()) > 50
 
 
+def brute_runs(rows, least=line_dedup.LEAST_WORDS):
+    """Lines of each row that belong to a later copy of a repeated run of enough words, by trying every run."""
+    seen, cut = set(), {}
+    for key, text in sorted(rows):
+        lines = text.split("\n")
+        words = [x.count(" ") + 1 if x else 0 for x in lines]
+        gone = set()
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                if sum(words[i:j]) >= least and tuple(lines[i:j]) in seen:
+                    gone |= set(range(i, j))
+                seen.add(tuple(lines[i:j]))
+        cut[key] = "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)
+    return cut
+
+
+def test_whole_runs_equal_brute_force(spark):
+    rng = random.Random(15)
+    pool = [" ".join(rng.choices(["a", "bb", "ccc", "dd"], k=n)) for n in (60, 20, 20, 10, 22, 93, 2, 1, 5, 30)] + [""]
+    run = ["w " * 59 + "w", "x " * 19 + "x", "y " * 19 + "y"]
+    rows = [(0, "\n".join(["own 0", *run, "end 0"])), (1, "\n".join(["own 1", *run, "end 1"])), (2, "\n".join([*run[:2], *[""] * 40, "z"])), (3, "\n".join([*run[:2], *[""] * 40, "z"]))]
+    for d in range(4, 60):
+        rows.append((d, "\n".join(rng.choice(pool) if rng.random() < 0.8 else f"own {d} {rng.random()}" for _ in range(rng.randrange(1, 20)))))
+        if d % 3 == 0:
+            rows[-1] = (d, rows[-1][1] + "\n" + "\n".join(pool[rng.randrange(5) :]))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["text"], r["lines_deleted"]) for r in line_dedup.dedup_lines(df, whole_runs=True).collect()}
+    want = brute_runs(rows)
+    assert got == want and got[1] == ("own 1\nend 1", 3)
+    assert sum(n for _, n in want.values()) > sum(n for _, n in brute_lines(rows).values())
+
+
 def test_line_runs_odd_rows(spark, odd, empty):
     got = line_dedup.dedup_lines(odd).collect()
     assert len(got) == 10 and all(r["lines_deleted"] == 0 for r in got)

@@ -2,8 +2,10 @@
 
 Only DataFrame functions are used.  A passage is a run of whole lines that starts at some line and goes on until it has
 LEAST_WORDS words (a line's words are its spaces plus one, none in an empty line).  Every passage that occurred earlier,
-in the order of (doc_id, line number), is deleted; the union of these passages is exactly the later copies of all
-maximal repeated runs of LEAST_WORDS words or more.
+in the order of (doc_id, line number), is deleted.  The union of these passages can lack the last lines of a maximal
+repeated run, where fewer than LEAST_WORDS words are left behind the run's last passage; with whole_runs these lines go
+too, and what is deleted is exactly the later copies of all maximal repeated runs of LEAST_WORDS words or more.  The
+registered query deletes passages, as its SQL does; the pipeline deletes whole runs.
 
 1. Lines become IDs.  IDs that occur once are unique suffixes already and leave; the others get ranks.
 2. Doubling: the rank of a suffix by its first 2^(k+1) lines is the rank of its pair (rank by 2^k lines here, rank by 2^k
@@ -13,6 +15,9 @@ maximal repeated runs of LEAST_WORDS words or more.
 3. Suffixes that agree on their passage's n lines form an interval of longest common prefix n or more.  With 2^k <= n < 2^(k+1)
    the pair (rank by 2^k here, rank by 2^k at n - 2^k) names the interval.  Its earliest suffix stays, the passages of
    the others are deleted.
+4. Whole runs: an occurrence is lengthened line by line while the lines behind its first have fewer than LEAST_WORDS
+   words (what reaches further holds the next line's passage).  Occurrences of one passage that agree on the added lines,
+   by sums of hashes of (line, place), are copies of the longer run.
 
 Groups are reduced before they are shuffled and joined back, so a line or passage that a third of the corpus holds is never
 gathered in a task.  Defined results: null texts stay null; texts without a repeated passage stay as they are; a
@@ -47,9 +52,10 @@ def _repeated(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def passages(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """(key, tie, pos, last, rank) of lines that occur more than once: the place of each, and where its passage ends.
+    """(key, tie, pos, last, until, rank) of lines that occur more than once: the place of each, and where its passage ends.
 
-    last is null where the repeated lines end before the passage has its words.
+    last is null where the repeated lines end before the passage has its words.  From the line behind pos to until, the
+    repeated lines have fewer than least_words words.
     """
     lines = docs.where(F.col(text_col).isNotNull()).select(*_key(id_col, text_col), F.col(text_col).alias("text")).select(*_DOC, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     words = F.expr("IF(line = '', 0, length(line) - length(replace(line, ' ', '')) + 1)")
@@ -61,43 +67,58 @@ def passages(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> D
     so_far = Window.partitionBy(*_DOC).orderBy("run", "pos").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("before", F.coalesce(F.sum("words").over(so_far), F.lit(0)))
     ahead = Window.partitionBy(*_DOC, "run").orderBy("before").rangeBetween(0, least_words - 1)
-    found = found.withColumns({"last": F.max("pos").over(ahead), "reached": F.max(F.col("before") + F.col("words")).over(ahead)})
-    return found.select(*_DOC, "pos", F.expr(f"IF(reached - before >= {least_words}, last, null)").alias("last"), "rank")
+    behind = Window.partitionBy(*_DOC, "run").orderBy(F.col("before") + F.col("words")).rangeBetween(0, least_words - 1)
+    found = found.withColumns({"last": F.max("pos").over(ahead), "reached": F.max(F.col("before") + F.col("words")).over(ahead), "until": F.max("pos").over(behind)})
+    return found.select(*_DOC, "pos", F.expr(f"IF(reached - before >= {least_words}, last, null)").alias("last"), "until", "rank")
 
 
-def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """(key, tie, pos, last): passages from line pos to line last that occurred earlier."""
+def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, whole_runs: bool = False) -> DataFrame:
+    """(key, tie, pos, last): passages (or, with whole_runs, runs) from line pos to line last that occurred earlier."""
     level, out = 0, None
-    rows = session.written(passages(docs, id_col, text_col, least_words), "suffixes-0")
+    lines = rows = session.written(passages(docs, id_col, text_col, least_words), "suffixes-0")
     while True:
         width = 1 << level
         behind = lambda n: F.first("rank").over(Window.partitionBy(*_DOC).orderBy("pos").rangeBetween(n, n))
-        # Suffixes whose passage has fewer than 2 * width lines are settled by two ranks of width lines that overlap.
+        # Suffixes whose passage has width to 2 * width - 1 lines are settled by two ranks of width lines that overlap.
         # The place of the second rank differs by suffix, so it is looked up by a join on (document, place).
-        settled = rows.where(f"last IS NOT NULL AND last - pos + 1 < {2 * width}").select(*_DOC, "pos", "last", F.col("rank").alias("x"), (F.col("last") - width + 1).alias("at"))
-        named = settled.join(rows.select(*_DOC, F.col("pos").alias("at"), F.col("rank").alias("y")), [*_DOC, "at"]).select(*_DOC, "pos", "last", "x", "y", (F.col("last") - F.col("pos") + 1).alias("lines"))
+        settled = rows.where(f"last - pos + 1 BETWEEN {width} AND {2 * width - 1}").select(*_DOC, "pos", "last", "until", F.col("rank").alias("x"), (F.col("last") - width + 1).alias("at"))
+        named = settled.join(rows.select(*_DOC, F.col("pos").alias("at"), F.col("rank").alias("y")), [*_DOC, "at"]).select(*_DOC, "pos", "last", "until", "x", "y", (F.col("last") - F.col("pos") + 1).alias("lines"))
         first = named.groupBy("lines", "x", "y").agg(F.min(F.struct(*_DOC, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        copies = session.joined_back(named, first, "lines", "x", "y").where(F.struct(*_DOC, "pos") > F.col("first")).select(*_DOC, "pos", "last")
-        out = copies if out is None else out.union(copies)
+        held = session.joined_back(named, first, "lines", "x", "y").withColumn("copy", F.struct(*_DOC, "pos") > F.col("first"))
+        held = held.select(*_DOC, "pos", "last", "until", "lines", "x", "y", "copy") if whole_runs else held.where("copy").select(*_DOC, "pos", "last")
+        out = held if out is None else out.union(held)
         if not rows.where(f"last - pos + 1 >= {2 * width}").limit(1).count():
-            return out
+            return _with_longer(session.written(out, "passages"), lines) if whole_runs else out
         pairs = rows.withColumn("next", behind(width)).where("next IS NOT NULL")
         ranks = session.written(_renamed(_repeated(pairs, ["rank", "next"])), f"ranks-{level}")
-        rows = session.written(pairs.join(ranks, ["rank", "next"]).select(*_DOC, "pos", "last", F.col("to").alias("rank")), f"suffixes-{level + 1}")
+        rows = session.written(pairs.join(ranks, ["rank", "next"]).select(*_DOC, "pos", "last", "until", F.col("to").alias("rank")), f"suffixes-{level + 1}")
         level += 1
 
 
+def _with_longer(held: DataFrame, lines: DataFrame) -> DataFrame:
+    """(key, tie, pos, last) of the copies among the occurrences of repeated passages, and of the longer runs from them."""
+    added = held.where("until > last").select(*_DOC, "pos", "last", "lines", "x", "y", F.explode(F.sequence(F.col("last") + 1, F.col("until"))).alias("at"))
+    added = added.join(lines.select(*_DOC, F.col("pos").alias("at"), F.col("rank").alias("line")), [*_DOC, "at"]).withColumn("more", F.col("at") - F.col("last"))
+    so_far = Window.partitionBy(*_DOC, "pos").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    # 40 bits each, so that the sums of eight million lines fit.
+    added = added.withColumns({n: F.sum(F.shiftrightunsigned(F.xxhash64("line", "more", F.lit(seed)), 24)).over(so_far) for n, seed in (("s", 1), ("t", 2))})
+    name = ["lines", "x", "y", "more", "s", "t"]
+    first = added.groupBy(*name).agg(F.min(F.struct(*_DOC, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    longer = session.joined_back(added, first, *name).where(F.struct(*_DOC, "pos") > F.col("first")).groupBy(*_DOC, "pos").agg(F.max("at").alias("last"))
+    return held.where("copy").select(*_DOC, "pos", "last").union(longer)
+
+
 def _renamed(pairs: DataFrame) -> DataFrame:
     """(rank, next, to): to is the place of the pair in the order of pairs."""
     made = _ranks(pairs.select(F.col("rank").alias("x"), F.col("next").alias("y")), ["x", "y"])
     return made.select(F.col("x").alias("rank"), F.col("y").alias("next"), F.col("rank").alias("to"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, count_col: str = "lines_deleted") -> DataFrame:
-    """docs with later copies of repeated line runs cut out of the text, and their number of lines as count_col, which
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, count_col: str = "lines_deleted", whole_runs: bool = False) -> DataFrame:
+    """docs with later copies of repeated passages (whole_runs: of maximal repeated runs) cut out of the text, and their number of lines as count_col, which
     takes the place of a column of that name."""
     key, tie, cut = (session.free(n, *docs.columns) for n in ("key", "tie", "cuts"))
-    copies = later_copies(docs, id_col, text_col, least_words)
+    copies = later_copies(docs, id_col, text_col, least_words, whole_runs)
     by_doc = Window.partitionBy(*_DOC).orderBy("pos", "last")
     # Passages that touch or overlap become one cut.
     reach = F.max("last").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
