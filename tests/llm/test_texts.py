@@ -199,6 +199,15 @@ def test_article(page, text):
     assert html_text.article(page) == text
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div", "section", "td"])
+def test_article_cut_up_by_adverts_stays_whole(tag):
+    rng = random.Random(16)
+    paragraphs = [prose(rng, n) for n in (90, 120, 80, 12)]
+    adverts = "<div class=ad><p>Buy now</p></div>" * 3
+    page = f"<body><ul class=menu><li>Home</ul>{adverts}<p>Log in</p>{adverts}<{tag}>" + adverts.join(f"<p>{p}</p>" for p in paragraphs) + f"</{tag}>{adverts}<div><p>Powered by us</p></div></body>"
+    assert html_text.article(page) == "\n".join(paragraphs)
+
+
 def test_extract_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>" * 20_000 + "x"), (3, "u", "<p>y"), (None, "u", "<" * 50_000)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()

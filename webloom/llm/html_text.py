@@ -7,8 +7,10 @@ Lines that are mostly links count 0 as well.  The text lengths of a sliding wind
 surges up from a valley and where it dives back to none.  Between the surge and the dive every line with text is kept,
 short ones too.
 
-A page that marks an <article> or <main> with text has its distribution taken over the marked lines only.  Elsewhere the
-stretch with most text is the article, and other stretches stay if they have at least SHARE of its text.
+A page that marks an <article> or <main> with text gives all its marked lines: the tags decide there, not the
+distribution, which would lose parts of articles that adverts cut up.  Elsewhere the stretch with most text is the
+article, and other stretches stay if they have at least SHARE of its text or a line in the container (HOLDERS) that holds
+most of it.
 
 Defined results: null and empty pages, and pages without text in their blocks, give an empty text.  Character
 references are decoded once; white space in a block becomes one space; blocks are joined by a line feed.  Unclosed tags,
@@ -41,6 +43,8 @@ BLOCKS = frozenset(
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody"
     " td tfoot th thead tr ul".split()
 )
+#: Containers that may hold a whole article.
+HOLDERS = frozenset("div section td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id or role that mark a container as no part of the article (own choice).
 MARKS = frozenset(
@@ -76,27 +80,31 @@ def marked_outside(name: str, attributes: str) -> bool:
 
 
 class Lines:
-    """Lines of a page: text, characters inside links, whether outside by markup, whether inside an article."""
+    """Lines of a page: text, characters inside links, whether outside by markup, whether inside an article, number
+    of the innermost of HOLDERS (0 for none)."""
 
     def __init__(self, page: str):
         self.text: list[str] = []
         self.linked: list[int] = []
         self.out: list[bool] = []
         self.inside: list[bool] = []
+        self.holder: list[int] = []
         self._parts: list[str] = []
         self._links = 0
-        self._stack: list[tuple[str, bool, bool]] = []  # (name, outside, article)
+        self._holders = 0
+        self._stack: list[tuple[str, bool, bool, int]] = []  # (name, outside, article, holder)
         self._walk(page)
         self._end_line()
 
     def _end_line(self) -> None:
         text = " ".join(html.unescape("".join(self._parts)).split())
         if text:
-            _, out, inside = self._stack[-1] if self._stack else ("", False, False)
+            _, out, inside, holder = self._stack[-1] if self._stack else ("", False, False, 0)
             self.text.append(text)
             self.linked.append(self._links)
             self.out.append(out)
             self.inside.append(inside)
+            self.holder.append(holder)
         self._parts, self._links = [], 0
 
     def _walk(self, page: str) -> None:
@@ -162,10 +170,13 @@ class Lines:
             # A block ends an open paragraph and what its markup lets it end; unclosed inline elements end with it.
             while self._stack and (self._stack[-1][0] == "p" or self._stack[-1][0] not in BLOCKS | SILENT | {"a"} or self._stack[-1][0] in self.ENDS.get(name, ())):
                 self._stack.pop()
-        _, out, inside = self._stack[-1] if self._stack else ("", False, False)
+        _, out, inside, holder = self._stack[-1] if self._stack else ("", False, False, 0)
+        if name in HOLDERS:
+            self._holders += 1
+            holder = self._holders
         inside = inside or name in ("article", "main")
         out = out or name in OUTSIDE or name in SILENT or (name == "header" and not inside) or marked_outside(name, attributes)
-        self._stack.append((name, out, inside))
+        self._stack.append((name, out, inside, holder))
 
     def _close(self, name: str) -> None:
         if name in BLOCKS:
@@ -203,9 +214,12 @@ def article(page: str) -> str:
     level = np.minimum(np.maximum(spread, weight), np.maximum(back, weight)) > 0
     edges = np.flatnonzero(np.diff(np.concatenate([[0], level.astype(int), [0]])))
     stretches = [(a, b, int(weight[a:b].sum())) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
-    most = max(s[2] for s in stretches)
+    a, b, most = max(stretches, key=lambda s: s[2])
     least = 1 if inside.any() and (weight[inside] > 0).any() else SHARE * most
-    return "\n".join(lines.text[i] for a, b, total in stretches if total >= least for i in range(a, b) if weight[i])
+    holder = np.array(lines.holder)
+    main = int(np.bincount(holder[a:b], weight[a:b]).argmax())
+    beside = (holder == main) & (weight > 0) & (main > 0)
+    return "\n".join(lines.text[i] for a, b, total in stretches if total >= least or beside[a:b].any() for i in range(a, b) if weight[i])
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
