@@ -20,8 +20,11 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or like no learned language, go."""
     lang, score, rate = (session.free(n, *docs.columns) for n in ("lang_pred", "score", "phrase_rate"))
-    judged = language_id.predict(docs, language_id.train(docs), passing=True, names=(lang, score, rate))
-    return judged.where((F.col(lang) != "und") & (F.col(rate) <= language_id.FOREIGN)).select(*docs.columns)
+    model = language_id.train(docs)
+    judged = language_id.predict(docs, model, passing=True, names=(lang, score, rate))
+    letters = F.greatest(F.length(F.regexp_replace("text", r"\P{L}+", "")), F.lit(1))
+    known = (F.col(rate) <= model.foreign) | (F.col(rate) <= model.foreign + language_id.SLACK / letters)
+    return judged.where((F.col(lang) != "und") & known).select(*docs.columns)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -211,6 +211,28 @@ def test_pipeline_equals_brute_force_stages(spark, data):
     assert all(model.decode(__import__("numpy").array(r["ids"])) == texts[r["doc_id"]] for r in final)
 
 
+def test_language_stage_drops_foreign_texts_and_keeps_the_rest(spark, data):
+    rng = random.Random(17)
+    foreign = [
+        "Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli, jota puhuvat pääosin suomalaiset ja joka on maan virallinen kieli",
+        "Türkçe güneydoğu Avrupa ve batı Asyada konuşulan, Türk dilleri dil ailesine ait sondan eklemeli bir dildir ve milyonlarca kişi konuşur",
+        "Język polski należy do grupy zachodniosłowiańskiej i jest językiem urzędowym w Polsce oraz jednym z języków urzędowych Unii Europejskiej",
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(400)),
+    ]
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    added = docs.limit(1).crossJoin(spark.createDataFrame([(-1 - k, t) for k, t in enumerate(foreign)], "i bigint, t string"))
+    more = added.select(*[F.col({"doc_id": "i", "text": "t"}.get(c, c)).alias(c) if c != "lang" else F.lit(None).cast("string").alias(c) for c in docs.columns])
+    short = more.where("doc_id = -1").withColumn("doc_id", F.lit(-9).cast("bigint")).withColumn("text", F.lit("A.\nAll rights reserved." + " 12345" * 900))
+    left = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(more).unionByName(short), data).collect()}
+    letters = {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert left == letters | {-9}
+
+
+def test_language_limit_is_loose_with_little_labelled_text():
+    assert language_id.Model({"en": ["plain words"], "fr": ["des mots " * 900]}).foreign == language_id.LOOSE
+    assert language_id.Model({"en": ["plain words " * 600], "fr": ["des mots " * 900]}).foreign == language_id.FOREIGN
+
+
 def test_stages_take_odd_and_empty_rows(spark, odd, empty, data):
     for df in (odd, empty):
         for name, stage in corpus_pipeline.STAGES:

@@ -36,8 +36,11 @@ WINDOW = 256
 #: Letters with symbols of their own.
 LETTERS = 61
 PAD, SPACE, OTHER = 0, 1, 2
-#: A text needing more phrases than this for each symbol is like no learned language; the pipeline rejects it.
-FOREIGN = 0.8
+#: A text needing more phrases than this for each symbol is like no learned language; the pipeline rejects it.  SLACK
+#: phrases more are allowed to any text, since a short one has few symbols to a phrase in every language.
+FOREIGN, SLACK = 0.35, 5
+#: Where some language has less labelled text than this, its own documents need many phrases, and only LOOSE is sure.
+LEAST_CHARS, LOOSE = 6000, 0.8
 
 _LETTER: list[np.ndarray] = []
 
@@ -89,6 +92,7 @@ class Model:
 
     def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(texts)
+        self.foreign = FOREIGN if all(sum(map(len, texts[lang])) >= LEAST_CHARS for lang in texts) else LOOSE
         seen = Counter(ch for lang in self.languages for t in texts[lang] for ch in t.lower() if unicodedata.category(ch)[0] == "L")
         self.alphabet = "".join(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])
         self.symbols = 3 + len(self.alphabet)
