@@ -208,6 +208,13 @@ def test_article_cut_up_by_adverts_stays_whole(tag):
     assert html_text.article(page) == "\n".join(paragraphs)
 
 
+@pytest.mark.parametrize("n", [10, 399, 400, 5000])
+def test_end_tags_close_at_any_depth(n):
+    for name, mark in (("nav", ""), ("aside", ""), ("form", ""), ("div", " class=menu")):
+        page = f"<{name}{mark}>" + "<ul>x" * n + f"</{name}><div><p>The article</p></div>"
+        assert html_text.article(page) == "The article"
+
+
 def test_extract_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>" * 20_000 + "x"), (3, "u", "<p>y"), (None, "u", "<" * 50_000)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()

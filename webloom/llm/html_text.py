@@ -93,6 +93,8 @@ class Lines:
         self._links = 0
         self._holders = 0
         self._stack: list[tuple[str, bool, bool, int]] = []  # (name, outside, article, holder)
+        self._open_at: dict[str, list[int]] = {}  # places of each name in the stack
+        self._blocks: list[int] = []  # places of block elements in the stack
         self._walk(page)
         self._end_line()
 
@@ -164,32 +166,41 @@ class Lines:
             return
         if name == "body":  # whatever the head left open is over
             self._end_line()
-            self._stack = []
+            self._cut(0)
         if name in BLOCKS:
             self._end_line()
             # A block ends an open paragraph and what its markup lets it end; unclosed inline elements end with it.
             while self._stack and (self._stack[-1][0] == "p" or self._stack[-1][0] not in BLOCKS | SILENT | {"a"} or self._stack[-1][0] in self.ENDS.get(name, ())):
-                self._stack.pop()
+                self._cut(len(self._stack) - 1)
         _, out, inside, holder = self._stack[-1] if self._stack else ("", False, False, 0)
         if name in HOLDERS:
             self._holders += 1
             holder = self._holders
         inside = inside or name in ("article", "main")
         out = out or name in OUTSIDE or name in SILENT or (name == "header" and not inside) or marked_outside(name, attributes)
+        self._open_at.setdefault(name, []).append(len(self._stack))
+        if name in BLOCKS:
+            self._blocks.append(len(self._stack))
         self._stack.append((name, out, inside, holder))
 
+    def _cut(self, size: int) -> None:
+        """Close the innermost elements until size are open."""
+        while len(self._stack) > size:
+            name = self._stack.pop()[0]
+            self._open_at[name].pop()
+            if name in BLOCKS:
+                self._blocks.pop()
+
     def _close(self, name: str) -> None:
         if name in BLOCKS:
             self._end_line()
-        if name == "br" or name == "p" and not any(s[0] == "p" for s in self._stack):
+        places = self._open_at.get(name)
+        if name == "br" or name == "p" and not places:
             self._parts.append(" ")
             return
-        for k in range(len(self._stack) - 1, max(-1, len(self._stack) - 400), -1):
-            if self._stack[k][0] == name:
-                if name not in BLOCKS and any(s[0] in BLOCKS for s in self._stack[k + 1 :]):
-                    return  # an inline end does not close the blocks opened since
-                del self._stack[k:]
-                return
+        # An inline end does not close the blocks opened since.
+        if places and (name in BLOCKS or not self._blocks or self._blocks[-1] < places[-1]):
+            self._cut(places[-1])
 
 
 def article(page: str) -> str:
