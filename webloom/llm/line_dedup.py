@@ -51,8 +51,8 @@ def _repeated(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").drop("n")
 
 
-def passages(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """(key, tie, pos, last, until, rank) of lines that occur more than once: the place of each, and where its passage ends.
+def passages(docs: DataFrame, id_col: str, text_col: str, least_words: int, whole_runs: bool = False) -> DataFrame:
+    """(key, tie, pos, last, rank and, with whole_runs, until) of lines that occur more than once: the place of each, and where its passage ends.
 
     last is null where the repeated lines end before the passage has its words.  From the line behind pos to until, the
     repeated lines have fewer than least_words words.
@@ -68,21 +68,22 @@ def passages(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> D
     found = found.withColumn("before", F.coalesce(F.sum("words").over(so_far), F.lit(0)))
     ahead = Window.partitionBy(*_DOC, "run").orderBy("before").rangeBetween(0, least_words - 1)
     behind = Window.partitionBy(*_DOC, "run").orderBy(F.col("before") + F.col("words")).rangeBetween(0, least_words - 1)
-    found = found.withColumns({"last": F.max("pos").over(ahead), "reached": F.max(F.col("before") + F.col("words")).over(ahead), "until": F.max("pos").over(behind)})
-    return found.select(*_DOC, "pos", F.expr(f"IF(reached - before >= {least_words}, last, null)").alias("last"), "until", "rank")
+    found = found.withColumns({"last": F.max("pos").over(ahead), "reached": F.max(F.col("before") + F.col("words")).over(ahead)})
+    until = [F.max("pos").over(behind).alias("until")] if whole_runs else []
+    return found.select(*_DOC, "pos", F.expr(f"IF(reached - before >= {least_words}, last, null)").alias("last"), *until, "rank")
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, whole_runs: bool = False) -> DataFrame:
     """(key, tie, pos, last): passages (or, with whole_runs, runs) from line pos to line last that occurred earlier."""
-    level, out = 0, None
-    lines = rows = session.written(passages(docs, id_col, text_col, least_words), "suffixes-0")
+    level, out, until = 0, None, ["until"] if whole_runs else []
+    lines = rows = session.written(passages(docs, id_col, text_col, least_words, whole_runs), "suffixes-0")
     while True:
         width = 1 << level
         behind = lambda n: F.first("rank").over(Window.partitionBy(*_DOC).orderBy("pos").rangeBetween(n, n))
         # Suffixes whose passage has width to 2 * width - 1 lines are settled by two ranks of width lines that overlap.
         # The place of the second rank differs by suffix, so it is looked up by a join on (document, place).
-        settled = rows.where(f"last - pos + 1 BETWEEN {width} AND {2 * width - 1}").select(*_DOC, "pos", "last", "until", F.col("rank").alias("x"), (F.col("last") - width + 1).alias("at"))
-        named = settled.join(rows.select(*_DOC, F.col("pos").alias("at"), F.col("rank").alias("y")), [*_DOC, "at"]).select(*_DOC, "pos", "last", "until", "x", "y", (F.col("last") - F.col("pos") + 1).alias("lines"))
+        settled = rows.where(f"last - pos + 1 BETWEEN {width} AND {2 * width - 1}").select(*_DOC, "pos", "last", *until, F.col("rank").alias("x"), (F.col("last") - width + 1).alias("at"))
+        named = settled.join(rows.select(*_DOC, F.col("pos").alias("at"), F.col("rank").alias("y")), [*_DOC, "at"]).select(*_DOC, "pos", "last", *until, "x", "y", (F.col("last") - F.col("pos") + 1).alias("lines"))
         first = named.groupBy("lines", "x", "y").agg(F.min(F.struct(*_DOC, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         held = session.joined_back(named, first, "lines", "x", "y").withColumn("copy", F.struct(*_DOC, "pos") > F.col("first"))
         held = held.select(*_DOC, "pos", "last", "until", "lines", "x", "y", "copy") if whole_runs else held.where("copy").select(*_DOC, "pos", "last")
@@ -91,7 +92,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return _with_longer(session.written(out, "passages"), lines) if whole_runs else out
         pairs = rows.withColumn("next", behind(width)).where("next IS NOT NULL")
         ranks = session.written(_renamed(_repeated(pairs, ["rank", "next"])), f"ranks-{level}")
-        rows = session.written(pairs.join(ranks, ["rank", "next"]).select(*_DOC, "pos", "last", "until", F.col("to").alias("rank")), f"suffixes-{level + 1}")
+        rows = session.written(pairs.join(ranks, ["rank", "next"]).select(*_DOC, "pos", "last", *until, F.col("to").alias("rank")), f"suffixes-{level + 1}")
         level += 1
 
 
