@@ -3,12 +3,15 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from webloom.llm import bpe, decontaminate, fingerprints, html_text, language_id, pii, token_counts, url_filter
+from webloom.llm import bpe, decontaminate, fingerprints, html_text, language_id, pii, textvec, token_counts, url_filter
 
 WORDS = "the of and to a in that is was he for it with as his on be at by i this had not are but from or have an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other time new some could these two may first then do".split()
 
@@ -259,6 +262,77 @@ def test_pieces_cut_where_nothing_changes(monkeypatch):
     assert model.encode([text])[0].tolist() == whole
 
 
+def thue_morse():
+    """Two words of 1,024 letters that polynomial hashes modulo 2^64 cannot tell apart."""
+    x = "a"
+    for _ in range(10):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_one_weak_hash_stay_apart(spark, monkeypatch):
+    x, y = thue_morse()
+    data = np.frombuffer(f"{x} {y} {x}".encode(), np.uint8)
+    starts = np.array([0, 1025, 2050])
+    hashes = textvec.spans_hash(data, starts, starts + 1024)
+    assert hashes[0] == hashes[2] != hashes[1]
+    monkeypatch.setattr(textvec, "spans_hash", lambda data, starts, ends, lower=False: np.zeros(len(starts), np.uint64))
+    words = mixed(random.Random(18), 300) + [x, y, "a", "b", "", x]
+    ends = np.cumsum([len(w.encode()) for w in words])
+    first, back = textvec.distinct(np.frombuffer("".join(words).encode(), np.uint8), ends - [len(w.encode()) for w in words], ends)
+    assert [words[first[k]] for k in back] == words and len(first) == len(set(words))
+    library = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    model = bpe.Transducer(public.path("byte_bpe_50k.json"))
+    assert [i.tolist() for i in model.encode(words)] == [library.encode(w, add_special_tokens=False).ids for w in words]
+    lengths, library = token_counts.Lengths(public.path("word_bpe_49k.json")), tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    assert lengths.of(*textvec.utf8(pa.array(words))).tolist() == [len(library.encode(w, add_special_tokens=False)) for w in words]
+
+
+def test_every_token_leaves_a_window():
+    model, rng = bpe.Transducer(public.path("byte_bpe_50k.json")), random.Random(19)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in range(1, 900, 7)]
+    assert len(set(words)) == len(words)
+    ids = model.encode(words)
+    assert model.emitted == sum(map(len, ids)) > 2000
+    # Windows let tokens go before the stream has ended: a round never sees more than its window.
+    seen, merged = [], model.merged
+    model.merged = lambda data, starts, ends: seen.append(int((ends - starts).max())) or merged(data, starts, ends)
+    model.known.clear()
+    assert [x.tolist() for x in model.encode(words)] == [x.tolist() for x in ids] and max(seen) == model.window and len(seen) >= 2
+
+
+@pytest.mark.parametrize("chars", [40, 300, 5000])
+def test_long_texts_flow_as_the_library_has_them(monkeypatch, chars):
+    model, library = bpe.transducer(public.path("byte_bpe_50k.json")), tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(bpe, "STREAM_CHARS", chars)
+    rng = random.Random(20)
+    scripts = ["日本語漢字仮名", "ПРИВЕТмир", "abcdefgh", "ABCDE", " ", "!?.", "0123", " \n\t", "a'sre ll"]
+    texts = ["".join(rng.choice(s) for _ in range(9000)) for s in scripts] + ["".join(mixed(rng, 600)) for _ in range(6)] + ["<|endoftext|>".join("日" * n for n in (1, 3000, 0, 700))]
+    for text in texts:
+        want = library.encode(text, add_special_tokens=False).ids
+        assert model.encode([text])[0].tolist() == want
+        n, of_ids, of_text = model.digests(text)
+        assert (n, of_ids, of_text) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_a_long_text_of_one_script_needs_bounded_memory():
+    code = """
+import resource, public_tokenizers
+from webloom.llm import bpe
+model, text = bpe.transducer(public_tokenizers.path("byte_bpe_50k.json")), "漢字" * 8_500_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+print(model.digests(text)[0] > 0, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    done, grown = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert done == "True" and int(grown) < 300
+
+
+def test_a_piece_without_white_space_is_counted_whole():
+    lengths, library = token_counts.Lengths(public.path("word_bpe_49k.json")), tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    for text in ("漢字" * 300_000, "x1" * 300_000, "q" * 500_000):
+        assert lengths.of(*textvec.utf8(pa.array([text]))).tolist() == [len(library.encode(text, add_special_tokens=False))]
+
+
 def test_encode_and_count_odd_rows(spark, odd, empty):
     library = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
     for r in bpe.encode_decode(odd, public.path("byte_bpe_50k.json"), outputs=True).collect():
@@ -293,7 +367,7 @@ def test_known_pieces_stay_bounded(monkeypatch):
     for _ in range(20):
         texts = mixed(rng, 30)
         assert lengths.of(*utf8(pa.array(texts))).tolist() == [len(library.encode(t, add_special_tokens=False)) for t in texts]
-        assert len(lengths.keys) <= 50
+        assert len(lengths.known) <= 50
 
 
 def edit_distance_to_any_stretch(item, words):

@@ -6,6 +6,8 @@ hash them and cut work into pieces of bounded size without making a Python objec
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,9 +15,7 @@ import pyarrow.compute as pc
 #: Bytes of text that one vectorised step handles; a single longer text is handled alone.
 CHUNK_BYTES = 1 << 20
 
-_P = 0x9E3779B97F4A7C15 | 1
 _M = (1 << 64) - 1
-_POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Word separators: space and \t \n \v \f \r.
 _IS_SPACE = np.zeros(256, bool)
@@ -24,8 +24,6 @@ _IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_LOWER = _BYTE[_LOWER]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -39,16 +37,6 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) <= n:
-        size = max(n + 1, CHUNK_BYTES + 1)
-        for k, base in ((0, _P), (1, pow(_P, -1, 1 << 64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _POW[k] = np.cumprod(x, dtype=np.uint64)
-    return _POW[0], _POW[1]
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, row offsets) of a string column; null rows are empty."""
     if column.null_count:
@@ -73,18 +61,72 @@ def slices(column: pa.Array, most: int = CHUNK_BYTES):
         yield at, len(sizes)
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as a little-endian number; zeros follow the end."""
+    padded = np.zeros(len(data) + 9, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def _steps(starts: np.ndarray, ends: np.ndarray):
+    """(spans with more than 8 k bytes, place of their next eight bytes, mask of the bytes that are theirs) for k = 0, 1, ..."""
+    left = (ends - starts).astype(np.int64)
+    live = np.flatnonzero(left > 0)
+    at, left = starts[live].astype(np.int64), left[live]
+    while len(live):
+        yield live, at, np.uint64(_M) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+
+
+#: Spans of more bytes are hashed one by one.
+LONG = 1 << 10
+
+
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal spans have equal hashes wherever they stand."""
-    up, down = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts], 1)
+    """A 64-bit hash of each byte span: equal spans have equal hashes wherever they stand.
+
+    Eight bytes at a time go through a bijective mixer after the span's length, so spans of up to eight bytes of one length
+    never share a hash, and longer ones do so by chance only; there is no algebra in it that texts could hit upon.
+    """
+    if lower:
+        data = _LOWER[data]
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64), 1)
+    short = np.flatnonzero(sizes <= LONG) if len(sizes) and sizes.max() > LONG else np.arange(len(sizes))
+    eight = _eights(data)
+    for live, at, mask in _steps(starts[short], ends[short]):
+        out[short[live]] = mix(out[short[live]] ^ (eight[at] & mask), 1)
+    for k in np.flatnonzero(sizes > LONG).tolist() if len(short) < len(sizes) else ():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the first span of each kind, kind of every span): told apart by their bytes, the hash only groups them."""
+    _, first, back = np.unique(spans_hash(data, starts, ends), return_index=True, return_inverse=True)
+    model = first[back]
+    same = ends - starts == (ends - starts)[model]
+    eight = _eights(data)
+    check = np.flatnonzero(same & (model != np.arange(len(starts))))
+    shift = starts[model[check]] - starts[check]
+    for live, at, mask in _steps(starts[check], ends[check]):
+        same[check[live]] &= (eight[at] & mask) == (eight[at + shift[live]] & mask)
+    if not same.all():  # spans that share a hash with another one
+        kinds: dict[bytes, int] = {}
+        for k in np.flatnonzero(~same).tolist():
+            raw = data[starts[k] : ends[k]].tobytes()
+            if raw not in kinds:
+                kinds[raw] = len(first)
+                first = np.append(first, k)
+            back[k] = kinds[raw]
+    return first, back
 
 
 class Words:
-    """Words ([^\\x20\\x09-\\x0D]+) of every row: starts, ends, hashes, and rows' offsets into them."""
+    """Words ([^\\x20\\x09-\\x0D]+) of every row: starts, ends, hashes (if hashed), and rows' offsets into them."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _IS_SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _IS_SPACE, hashed: bool = True):
         n = len(data)
         solid = np.zeros(n + 2, bool)
         solid[1 : n + 1] = ~space[data]
@@ -94,7 +136,7 @@ class Words:
         self.starts = np.flatnonzero(here & (~solid[:n] | edge[:n]))
         self.ends = np.flatnonzero(here & (~solid[2 : n + 2] | edge[1:])) + 1
         self.rows = np.searchsorted(self.starts, offsets)
-        self.hashes = spans_hash(data, self.starts, self.ends, lower)
+        self.hashes = spans_hash(data, self.starts, self.ends, lower) if hashed else None
 
 
 def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:

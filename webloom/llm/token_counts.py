@@ -3,8 +3,8 @@
 Long texts are split at boundaries where the tokenizer cannot join text: for a tokenizers file whose
 pre-tokenizer keeps only matches without white space, every run of ASCII white space is such a boundary
 (NFC, lower-casing, the split pattern and the special strings never reach across it).  Pieces are encoded by
-the library in batches balanced by bytes; a piece seen before in the same worker is not encoded again, and the
-store of known lengths is bounded by KNOWN entries.  Other tokenizers get whole texts.
+the library in batches balanced by bytes; a piece seen before in the same worker (the same bytes) is not encoded again,
+and the store of known lengths is bounded by KNOWN pieces of KNOWN_BYTES at most.  Other tokenizers get whole texts.
 
 Defined results: null and empty texts count 0 tokens; columns other than the id and the text are ignored.
 """
@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import session
-from .textvec import Words, row_sums, slices, utf8
+from .textvec import Words, distinct, row_sums, slices, utf8
 
-#: Distinct pieces whose lengths a worker remembers.
-KNOWN = 600_000
+#: Distinct pieces whose lengths a worker remembers, and the bytes of the longest one remembered.
+KNOWN, KNOWN_BYTES = 300_000, 64
 #: Bytes of pieces in one call of the library.
 CALL_BYTES = 1 << 18
 
@@ -44,7 +44,7 @@ class Lengths:
             model.no_padding()
             self.encode = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
             self.whole = not splits_at_space(path)
-        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known: dict[bytes, int] = {}
 
     def batches(self, pieces: list[str]):
         """Lists of pieces of about CALL_BYTES each."""
@@ -64,23 +64,17 @@ class Lengths:
         raw = data.tobytes()
         if self.whole:
             return self.lengths([raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
-        words = Words(data, offsets, lower=False)
-        keys, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        found = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        found[inside] = self.keys[at[inside]] == keys[inside]
-        counts = np.zeros(len(keys), np.int64)
-        counts[found] = self.values[at[found]]
-        if not found.all():
-            new = np.flatnonzero(~found)
-            counts[new] = self.lengths([raw[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())])
-            if len(self.keys) + len(new) > KNOWN:
-                self.keys, self.values = keys[:KNOWN], counts[:KNOWN]
-            else:
-                joined = np.concatenate([self.keys, keys[new]])
-                order = np.argsort(joined)
-                self.keys, self.values = joined[order], np.concatenate([self.values, counts[new]])[order]
+        words = Words(data, offsets, lower=False, hashed=False)
+        first, back = distinct(data, words.starts, words.ends)
+        keys = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())]
+        counts = np.array([self.known.get(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(counts < 0)
+        if len(new):
+            counts[new] = self.lengths([keys[i].decode("utf-8", "replace") for i in new.tolist()])
+            if len(self.known) + len(new) > KNOWN:
+                self.known.clear()
+            small = [i for i in new.tolist() if len(keys[i]) <= KNOWN_BYTES][:KNOWN]
+            self.known.update((keys[i], n) for i, n in zip(small, counts[small].tolist()))
         return row_sums(counts[back], words.rows)
 
 
