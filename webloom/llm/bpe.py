@@ -383,8 +383,11 @@ class Transducer:
         at = 0
         while len(text) - at > STREAM_CHARS:
             stretch = text[at : at + STREAM_CHARS]
-            starts = np.flatnonzero(pretoken_starts(_points(stretch), np.zeros(1, np.int64)))
-            sure = int(starts[starts <= max(len(stretch) - NEAR, 0)][-1])
+            points = _points(stretch)
+            begins = pretoken_starts(points, np.zeros(1, np.int64))
+            # White space is cut by what follows it, so no stretch ends behind it.
+            begins[1:] &= classes()[points[:-1]] != SPACE
+            sure = int(np.flatnonzero(begins[: max(len(stretch) - NEAR, 0) + 1])[-1])
             if sure:
                 yield self._plain([stretch[:sure]])[0]
                 at += sure
