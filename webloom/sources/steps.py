@@ -7,11 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows in a file of a table whose number of rows is known beforehand.
+FILE_ROWS = 2_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where the cluster names none (tests, local mode), a folder of this machine."""
+    """spark.checkpoint.dir; where it is unset, a folder of this machine in local mode, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         folder = f"file://{tempfile.mkdtemp(prefix='webloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -22,11 +27,14 @@ def own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/webloom/{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts the lineage, and survives lost executors."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: cuts the lineage, and survives lost executors.
+
+    rows: a bound of its rows, where the caller knows one; a small table is then one file, not one for each partition.
+    """
     spark = df.sparkSession
     path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // FILE_ROWS)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
