@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -87,6 +88,49 @@ def test_near_duplicates_odd_rows(spark, odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_bands_meet_at_the_threshold():
+    """Random pairs of sets at similarity 0.85 and 0.8, of few and of many shingles, share a bucket."""
+    rng = np.random.default_rng(21)
+    for union in (7, 20, 100, 400, 2000):
+        for percent, least in ((85, 0.999), (80, 0.995)):
+            met, pairs = 0, 400
+            for _ in range(pairs):
+                values = rng.integers(0, 1 << 63, union, dtype=np.uint64) * np.uint64(2)
+                common = -(-percent * union // 100)
+                split = common + int(rng.integers(0, union - common + 1))
+                sets = [np.sort(np.concatenate([values[:common], own])) for own in (values[common:split], values[split:])]
+                rows = np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])])
+                keys = near_dedup.bands(near_dedup.densified(np.concatenate(sets), rows))
+                met += bool((keys[0] == keys[1]).any())
+            assert met / pairs >= least, (union, percent)
+
+
+def test_prefixes_of_linked_sets_meet():
+    rng, often = np.random.default_rng(22), np.zeros(near_dedup.SLOTS, np.int64)
+    often[rng.integers(0, near_dedup.SLOTS, 5000)] = 7
+    for percent in (80, 85):
+        for _ in range(800):
+            union = int(rng.integers(1, 60))
+            values = rng.integers(0, 1 << 63, union, dtype=np.uint64) * np.uint64(2)
+            common = -(-percent * union // 100)
+            split = common + int(rng.integers(0, union - common + 1))
+            x, y = sorted((np.sort(np.concatenate([values[:common], own])) for own in (values[common:split], values[split:])), key=len)
+            owner, token, place = near_dedup.prefixes(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), often, percent)
+            first = {int(t): int(p) for o, t, p in zip(owner, token, place) if o == 0 and p <= len(x) + (-2 * percent * len(x)) // (100 + percent)}
+            second = {int(t): int(p) for o, t, p in zip(owner, token, place) if o == 1}
+            assert any(min(len(x) - first[t], len(y) - second[t]) * (100 + percent) >= percent * (len(x) + len(y)) for t in first.keys() & second.keys())
+
+
+def test_a_bucket_of_many_unlinked_classes(spark):
+    """20,000 texts share a long passage and are not linked, but for one pair that no star joins."""
+    rng = random.Random(23)
+    passage = " ".join(f"p{i}" for i in range(120))
+    own = [" ".join(f"o{rng.randrange(10**9)}" for _ in range(14)) for _ in range(20_000)]
+    rows = [(i, f"{passage} {x}") for i, x in enumerate(own)] + [(30_000, f"{passage} {own[7]} end"), (30_001, f"{passage} {own[9]} end")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8), 85, 3).where("NOT kept").collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(30_000, 7), (30_001, 9)}
+
+
 def brute_lines(rows, least=line_dedup.LEAST_WORDS):
     """Text of each row without later copies of passages, by the definition."""
     seen, cut = set(), {}

@@ -2,19 +2,27 @@
 
 1. One Arrow pass turns every whole text into its set of distinct word shingles (64-bit hashes), keyed by a 128-bit
    digest of the set, BINS one-permutation minima (densified: an empty bin copies the bin that its own fixed probe
-   sequence reaches first), BANDS band keys and a parity sketch of the set.
+   sequence reaches first; sets that fill so few bins that PROBES tries fail go on to the next full bin), BANDS band keys
+   and a parity sketch of the set.
 2. Texts with equal sets fold into one class (a grouped minimum), so copies never meet each other in a bucket.
-3. In every bucket all classes are joined to one centre chosen by hash: a bucket of n gives n - 1 candidates.
-4. Candidates are confirmed on the full shingle sets; confirmed edges give components.
-5. What a star leaves open is looked at again: in each bucket that still holds several components, new stars are laid,
-   then every pair of classes of different components whose sketches do not rule the link out is confirmed.  So a
-   bucket's centre never hides a link between two others, and nothing is capped.  The sketches rule out nothing that is
-   a link: each shingle that only one of two sets has changes one bit, so the sketches differ in at most as many bits
-   as there are such shingles, and these are at most (|A| + |B|) * (100 - percent) / (100 + percent) for a link.
-
-A pair at the threshold J = 0.85 shares no bucket with probability (1 - J^ROWS)^BANDS, about 2e-7.
-Defined results: null, empty and blank texts have an empty set, component doc_id and kept; repeated rows of one doc_id
-are one document in a component; other columns are ignored.
+3. In every bucket all classes are joined to one centre chosen by hash: a bucket of n gives n - 1 candidates.  Those that
+   the sketches do not rule out are confirmed on the full shingle sets; confirmed edges give components.
+4. A star leaves a link between two others open.  Classes of buckets that still hold several components are looked at
+   again by an exact prefix filter: their shingles are put in one order, rare ones first, and two sets can only be linked if
+   the smaller one has a shingle among its first n - ceil(2 p n / (100 + p)) + 1 that the other has among its first
+   n - ceil(p n / 100) + 1, at places that leave room for the overlap.  Only pairs of different components meet.
+   Classes that share a passage without being linked differ in rare shingles, which fill these prefixes, so a bucket
+   of many such classes gives few pairs, not all of them.  Nothing is capped, and no link inside a bucket is lost.
+
+Sketches rule out nothing that is a link: each shingle that only one of two sets has changes one bit, so the sketches differ
+in at most as many bits as there are such shingles, and these are at most (|A| + |B|) * (100 - percent) / (100 + percent)
+for a link.  A pair at the threshold J = 0.85 shares no bucket with probability (1 - J^ROWS)^BANDS, about 2e-7.
+
+The order of shingles goes by how often open classes have them, counted in SLOTS slots by hash: what the driver gathers
+and broadcasts is these counts, whatever the input.  Any order is exact, a good one makes few pairs.
+
+Defined results: null, empty and blank texts have an empty set, component doc_id and kept; a row without an id has no
+component and is kept; repeated rows of one doc_id are one document in a component; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import session
 from .components import components
-from .textvec import Words, mix, shingles, slices, utf8
+from .textvec import Words, mix, row_sums, shingles, slices, utf8
 
 BITS = 9
 BINS = 1 << BITS
@@ -33,10 +41,12 @@ ROWS = 8
 BANDS = 48
 #: 64-bit words of a sketch: bit h of it tells whether an odd number of the set's shingles hash to h.
 SKETCH = 8
-#: Rounds of new stars before the rest is looked at pair by pair.
-STARS = 1
+#: Slots in which shingles are counted for their order.
+SLOTS = 1 << 18
+#: Tries of an empty bin.
+PROBES = 64
 
-_PROBES = np.stack([np.random.default_rng(7).permutation(BINS * 64)[k * BINS : (k + 1) * BINS] % BINS for k in range(64)])
+_PROBES = np.stack([np.random.default_rng(7).permutation(BINS * PROBES)[k * BINS : (k + 1) * BINS] % BINS for k in range(PROBES)])
 
 
 def densified(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -67,42 +77,81 @@ def densified(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def bands(minima: np.ndarray) -> np.ndarray:
+    """[rows, BANDS] keys of the buckets."""
+    keys = np.zeros((len(minima), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(minima), band, np.uint64)
+        for k in range(ROWS):
+            key = mix(key ^ minima[:, band * ROWS + k], 2)
+        keys[:, band] = key
+    return keys
+
+
 def _signatures(width: int):
     def run(batches):
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                part = batch.slice(a, b - a)
-                values, rows = shingles(Words(*utf8(part.column(1))), width)
-                sizes = np.diff(rows)
-                digests = []
-                for seed in (11, 12):
-                    total = np.zeros(len(values) + 1, np.uint64)
-                    np.cumsum(mix(values, seed), out=total[1:])
-                    digests.append((total[rows[1:]] - total[rows[:-1]]).view(np.int64))
-                minima = densified(values, rows)
-                keys = np.zeros((len(sizes), BANDS), np.uint64)
-                for band in range(BANDS):
-                    key = np.full(len(sizes), band, np.uint64)
-                    for k in range(ROWS):
-                        key = mix(key ^ minima[:, band * ROWS + k], 2)
-                    keys[:, band] = key
-                bit = np.repeat(np.arange(len(sizes)), sizes) * (SKETCH * 64) + (mix(values, 3) % np.uint64(SKETCH * 64)).astype(np.int64)
-                odd = (np.bincount(bit, minlength=len(sizes) * SKETCH * 64) & 1).astype(np.uint8).reshape(len(sizes), SKETCH * 64)
-                bits = np.packbits(odd, axis=1).view(np.int64)
-                as_list = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(x).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(digests[0]), pa.array(digests[1]), as_list(keys.view(np.int64)), as_list(bits)], ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
+        as_list = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(np.ascontiguousarray(x).reshape(-1)))
+        for part, values, rows in _shingled(batches, width):
+            sizes = np.diff(rows)
+            digests = [row_sums(mix(values, seed), rows).view(np.int64) for seed in (11, 12)]
+            keys = bands(densified(values, rows))
+            bit = np.repeat(np.arange(len(sizes)), sizes) * (SKETCH * 64) + (mix(values, 3) % np.uint64(SKETCH * 64)).astype(np.int64)
+            odd = (np.bincount(bit, minlength=len(sizes) * SKETCH * 64) & 1).astype(np.uint8).reshape(len(sizes), SKETCH * 64)
+            bits = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(digests[0]), pa.array(digests[1]), as_list(keys.view(np.int64)), as_list(bits)], ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
 
     return run
 
 
 def _sets(width: int):
     def run(batches):
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                part = batch.slice(a, b - a)
-                values, rows = shingles(Words(*utf8(part.column(1))), width)
-                raw = values.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[x * 8 : y * 8] for x, y in zip(rows[:-1].tolist(), rows[1:].tolist())], pa.binary())], ["doc_id", "shingles"])
+        for part, values, rows in _shingled(batches, width):
+            raw = values.tobytes()
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[x * 8 : y * 8] for x, y in zip(rows[:-1].tolist(), rows[1:].tolist())], pa.binary())], ["doc_id", "shingles"])
+
+    return run
+
+
+def _shingled(batches, width: int):
+    """(rows, their shingles, offsets) of batches (doc_id, text, ...), in parts of bounded bytes."""
+    for batch in batches:
+        for a, b in slices(batch.column(1)):
+            part = batch.slice(a, b - a)
+            yield part, *shingles(Words(*utf8(part.column(1))), width)
+
+
+def _slot(values: np.ndarray) -> np.ndarray:
+    return (mix(values, 4) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _counts(width: int):
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for _, values, _ in _shingled(batches, width):
+            total += np.bincount(_slot(values), minlength=SLOTS)
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], ["slot", "n"])
+
+    return run
+
+
+def prefixes(values: np.ndarray, rows: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, place) of the first n - ceil(percent n / 100) + 1 shingles of every set in the common order."""
+    n = np.diff(rows)
+    owner = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((values, often[_slot(values)], owner))
+    place = np.arange(len(values)) - np.repeat(rows[:-1], n)
+    first = place < (n + (-percent * n) // 100 + 1)[owner]
+    return owner[first], values[order][first], place[first]
+
+
+def _tokens(width: int, percent: int, shared):
+    def run(batches):
+        often = shared.value
+        for part, values, rows in _shingled(batches, width):
+            owner, token, place = prefixes(values, rows, often, percent)
+            of = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), part.column(0).take(of), part.column(2).take(of), pa.array(np.diff(rows)[owner]), pa.array(place)], ["token", "doc_id", "comp", "n", "place"])
 
     return run
 
@@ -130,36 +179,40 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = session.written(texts.mapInArrow(_signatures(width), "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch array<bigint>"), "signatures")
     some = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = session.written(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    least = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     sketches = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]
-    reps = some.join(classes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"]).select("doc_id", "k1", "k2", F.col("n_shingles").alias("n"), "bands", *sketches)
+    reps = some.join(least, ["k1", "k2", "doc_id"]).select("doc_id", "k1", "k2", "copies", F.col("n_shingles").alias("n"), "bands", *sketches)
     reps = session.written(reps.dropDuplicates(["doc_id", "k1", "k2"]), "representatives")
 
-    shared = session.written(_crowded(reps), "buckets")
-    centres = shared.where(F.xxhash64("doc_id", "bucket") == F.col("chosen")).select("bucket", F.col("doc_id").alias("centre"), F.col("n").alias("n0"))
-    stars = shared.join(centres, "bucket").where("centre <> doc_id").where(_sizes_fit("n", "n0", percent))
-    stars = stars.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    sets = texts.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, shingles binary")
-    sets = session.written(sets.distinct(), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-        return session.written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
-
-    together = components(confirmed(stars))
-    for step in range(STARS + 1):
-        pairs = _still_open(shared, together, reps, percent, step)
-        more = confirmed(pairs)
-        if more.limit(1).count():
-            together = components(together.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    moved = classes.join(together, classes.rep == together.node, "left").where("copies > 1 OR node IS NOT NULL")
-    moved = moved.select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    placed = found.join(moved, ["k1", "k2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return placed.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
-
-def _sizes_fit(one: str, two: str, percent: int):
-    return F.expr(f"100 * least({one}, {two}) >= {percent} * greatest({one}, {two})")
+    shared = _crowded(reps).join(reps.drop("bands", "k1", "k2", "copies", "n"), "doc_id")
+    shared = session.written(shared, "buckets")
+    centres = shared.where(F.xxhash64("doc_id", "bucket") == F.col("chosen"))
+    stars = shared.alias("l").join(centres.alias("r"), F.expr(f"l.bucket = r.bucket AND l.doc_id <> r.doc_id AND {_likely('l', 'r', percent)}"))
+    links = _confirmed(stars.select("l.doc_id", "r.doc_id").toDF("a", "b"), texts, width, percent)
+    together = components(links)
+    more = _between(shared, together, texts, width, percent)
+    if more is not None:
+        together = components(together.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    moved = reps.join(together, reps.doc_id == together.node, "left").where("copies > 1 OR node IS NOT NULL")
+    moved = moved.select("k1", "k2", F.coalesce("component", "doc_id").alias("component"))
+    same = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    placed = found.join(moved, ["k1", "k2"], "left").select("doc_id", "n_shingles", same.alias("component_id"))
+    return placed.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _likely(one: str, two: str, percent: int) -> str:
+    """Condition that every link fulfils: sizes fit, and the sketches differ in few enough bits."""
+    unlike = " + ".join(f"bit_count({one}.s{k} ^ {two}.s{k})" for k in range(SKETCH))
+    return f"100 * least({one}.n, {two}.n) >= {percent} * greatest({one}.n, {two}.n) AND ({unlike}) * {100 + percent} <= ({one}.n + {two}.n) * {100 - percent}"
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets are linked."""
+    pairs = session.written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = session.written(texts.join(ends, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, shingles binary"), "sets")
+    one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    return session.written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
 
 
 def _crowded(reps: DataFrame) -> DataFrame:
@@ -169,17 +222,31 @@ def _crowded(reps: DataFrame) -> DataFrame:
     return session.joined_back(rows, counts.drop("members"), "bucket")
 
 
-def _still_open(shared: DataFrame, together: DataFrame, reps: DataFrame, percent: int, step: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components: to a newly chosen centre, or all of them after STARS steps."""
-    label = shared.join(together, shared.doc_id == together.node, "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    mixed = label.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min(F.xxhash64("doc_id", "bucket", F.lit(step))).alias("chosen")).where("low <> high")
-    left = session.joined_back(label, mixed.select("bucket", "chosen"), "bucket")
-    left = session.written(left.join(reps.drop("bands", "k1", "k2"), "doc_id"), "open")
-    other = left.where(F.xxhash64("doc_id", "bucket", F.lit(step)) == F.col("chosen")) if step < STARS else left
-    unlike = " + ".join(f"bit_count(l.s{k} ^ r.s{k})" for k in range(SKETCH))
-    apart = "l.comp <> r.comp" if step < STARS else "l.comp < r.comp"
-    near = left.alias("l").join(other.alias("r"), F.expr(f"l.bucket = r.bucket AND {apart} AND ({unlike}) * {100 + percent} <= (l.n + r.n) * {100 - percent}")).where(_sizes_fit("l.n", "r.n", percent))
-    return near.select(F.least("l.doc_id", "r.doc_id").alias("a"), F.greatest("l.doc_id", "r.doc_id").alias("b")).distinct()
+def _between(shared: DataFrame, together: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links (a, b) between different components in buckets that hold several of them; None where no bucket does."""
+    spark = shared.sparkSession
+    label = shared.join(together, shared.doc_id == together.node, "left").select("bucket", "doc_id", "n", *[f"s{k}" for k in range(SKETCH)], F.coalesce("component", "doc_id").alias("comp"))
+    mixed = label.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    left = session.written(session.joined_back(label, mixed.select("bucket"), "bucket").drop("bucket").dropDuplicates(["doc_id"]), "open")
+    if left.isEmpty():
+        return None
+    open_texts = texts.join(left.select("doc_id", "comp"), "doc_id").select("doc_id", "text", "comp")
+    often = np.zeros(SLOTS, np.int64)
+    counted = open_texts.mapInArrow(_counts(width), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    tokens = open_texts.mapInArrow(_tokens(width, percent, spark.sparkContext.broadcast(often)), "token bigint, doc_id bigint, comp bigint, n bigint, place bigint")
+    tokens = session.written(tokens.withColumn("indexed", F.expr(f"place <= n + floor(-2 * {percent} * n / {100 + percent})")), "tokens")
+    met = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("indexed").alias("some")).where("low <> high AND some")
+    rows = session.joined_back(tokens, met.select("token"), "token").join(left.drop("comp", "n"), "doc_id")
+    rows = session.written(rows, "met")
+    # Components meet first, so that the many members of one are never paired with each other.
+    sides = rows.groupBy("token", "comp").agg(F.max("indexed").alias("some"))
+    cross = sides.where("some").select("token", F.col("comp").alias("one")).join(sides.select("token", F.col("comp").alias("two")), "token").where("one <> two")
+    fits = f"l.n <= r.n AND least(l.n - l.place, r.n - r.place) * {100 + percent} >= {percent} * (l.n + r.n) AND {_likely('l', 'r', percent)}"
+    left_rows = cross.join(rows.where("indexed").withColumnRenamed("comp", "one"), ["token", "one"])
+    pairs = left_rows.alias("l").join(rows.alias("r"), F.expr(f"l.token = r.token AND l.two = r.comp AND {fits}"))
+    more = _confirmed(pairs.select("l.doc_id", "r.doc_id").toDF("a", "b"), texts, width, percent)
+    return None if more.isEmpty() else more
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
