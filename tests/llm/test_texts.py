@@ -1,6 +1,7 @@
 """Operators on single texts against plain versions: URL filter, language, personal data, fingerprints, HTML, tokens."""
 
 import hashlib
+import html
 import random
 import re
 import subprocess
@@ -9,6 +10,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from webloom.llm import bpe, decontaminate, fingerprints, html_text, language_id, pii, textvec, token_counts, url_filter
@@ -218,6 +220,79 @@ def test_end_tags_close_at_any_depth(n):
         assert html_text.article(page) == "The article"
 
 
+def plain_article(page):
+    """The kept lines by loops: every window is summed anew, and a state goes from surge to dive."""
+    lines = html_text.Lines(page)
+    n = len(lines.text)
+    weight, threshold = html_text.weights(lines)
+    out, inside = [], False
+    for i in range(n):
+        ahead, behind = (sum(weight[j] for j in range(n) if 0 <= d * (j - i) < html_text.WINDOW) for d in (1, -1))
+        surge = min(ahead, behind) >= threshold - 1e-6
+        if not inside and surge:
+            inside = True
+        elif inside and not surge:
+            inside = False
+        if inside:
+            out.append(lines.text[i])
+    return "\n".join(out)
+
+
+def marked_article(page):
+    """Headings and paragraphs inside <article> of the given pages, which have no other blocks there."""
+    body = page.split("<article>")[1].split("</article>")[0]
+    blocks = re.split(r"</?(?:h1|p)>", re.sub(r"</?b>", "", body.replace("<br>", " ")))
+    return "\n".join(x for b in blocks if (x := " ".join(html.unescape(b).split())))
+
+
+def test_the_distribution_equals_brute_force_and_the_given_articles(data):
+    pages = [r["html"] for r in pq.read_table(f"{data}/pages.parquet").to_pylist()]
+    assert all(html_text.article(p) == plain_article(p) == marked_article(p) for p in pages)
+    rng = random.Random(24)
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randrange(1, 25)):
+            text = prose(rng, rng.choice([1, 2, 5, 30, 90]))
+            parts.append(rng.choice(["<p>{}</p>", "{}<hr>", "<div>{}</div>", "<div><div>{}<p>{}</div></div>", "<a href=x>{}</a><hr>", "<ul><li>{}</ul>", "<article>{}</article>", "<h2>{}</h2>", "<div class=ad>{}</div>", "<section><p>{}"]).format(text, text))
+        page = "".join(parts)
+        assert html_text.article(page) == plain_article(page)
+
+
+def test_the_distribution_decides(monkeypatch):
+    rng = random.Random(25)
+    long, short = [prose(rng, 80) for _ in range(4)], "Just so."
+    loose = "<div>Home</div><div>Log in</div>" + "".join(f"<div>{t}</div>" for t in long[:2]) + "<div>Share</div><div>Print</div>" + "".join(f"<div>{t}</div>" for t in long[2:]) + "<div>Up</div><div>Powered by us</div>"
+    marked = f"<p>Teaser</p><article><h1>Head</h1><p>{short}</p></article><div>{long[0] * 9}</div><div>Up</div>"
+    rows = f"<body><h1>Head</h1>{''.join(f'<p>{t}' for t in long)}<p>{short}</p>Contact<hr>Up</body>"
+    want = ["\n".join([*long[:2], "Share", "Print", *long[2:]]), f"Head\n{short}\n{long[0] * 9}", "\n".join(["Head", *long, short])]
+    assert [html_text.article(p) for p in (loose, marked, rows)] == want
+    monkeypatch.setattr(html_text, "between_surges", lambda weight, threshold: weight >= 0)
+    assert all(html_text.article(p) != w for p, w in zip((loose, marked, rows), want))
+
+
+def test_no_text_is_lost_to_letters_gaps_links_or_comments():
+    rng = random.Random(26)
+    paragraphs = [prose(rng, n) for n in (200, 3, 60, 4)]
+    turkish = f"<p>{'İ' * 30}</p><script>x</script><p>{paragraphs[0]}</p><p>{paragraphs[1]}</p>"
+    assert html_text.article(turkish) == "\n".join(["İ" * 30, *paragraphs[:2]])
+    gap = "<div class=ad><p>Buy</p></div>" * 5
+    for tag in ("article", "div", "body"):
+        assert html_text.article(f"<{tag}>" + gap.join(f"<p>{p}</p>" for p in paragraphs) + f"</{tag}>") == "\n".join(paragraphs)
+    nested = "<p>" + paragraphs[0] + " <a href=x><i><b><u><s>link</s></u></b></i></a></p><ul>" + "<li><a href=x><i><b><u><s>All of it</s></u></b></i></a>" * 9 + "</ul>"
+    assert html_text.article(nested) == paragraphs[0] + " link"
+    assert html_text.article(f"<a name=top><p>{paragraphs[0]}<p>{paragraphs[3]}") == f"{paragraphs[0]}\n{paragraphs[3]}"
+    assert html_text.article(f"<article><p>{paragraphs[0]}</article><article class='comment odd'><p>{paragraphs[2]}</article>") == paragraphs[0]
+    assert html_text.article("<p>a</p><SCRIPT>x</scripty></Script ><p>b</p>") == "a\nb"
+
+
+def test_extract_repeated_clashing_and_empty(spark):
+    rows = [(1, "u", PAGE, "x")] * 3 + [(2, "v", "<p>y", "x")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string").selectExpr("*", "7 AS n_chars")
+    got = html_text.extract(df).collect()
+    assert sorted((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in got) == [(1, "u", html_text.article(PAGE), len(html_text.article(PAGE)))] * 3 + [(2, "v", "y", 1)]
+    assert html_text.extract(df.limit(0)).columns == ["page_id", "url", "text", "n_chars"] and html_text.extract(df.limit(0)).count() == 0
+
+
 def test_extract_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>" * 20_000 + "x"), (3, "u", "<p>y"), (None, "u", "<" * 50_000)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()

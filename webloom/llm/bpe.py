@@ -41,7 +41,7 @@ from .textvec import distinct, slices
 #: Widest window in bytes that is merged as a row of an array; wider ones are merged one by one from a heap.
 LOCKSTEP = 48
 #: Distinct pretokens whose tokens a worker remembers, and the bytes of the longest one remembered.
-KNOWN, KNOWN_BYTES = 200_000, 64
+KNOWN, KNOWN_BYTES = 400_000, 64
 #: Code points that are handled at once.
 STREAM_CHARS = 1 << 19
 #: Code points on either side of a place that can decide whether a pretoken begins there.
