@@ -142,6 +142,69 @@ def test_field_adds_a_mention_that_its_other_place_explains():
     assert finder.spans(["version 3.10 of 12 pages in 1999"])[0] == ([], [])
 
 
+def digit_runs(text):
+    return {(m.start(), m.end()) for m in re.finditer(r"(?<![0-9])[0-9]{16}(?![0-9])", text)}
+
+
+def hex_tokens(text):
+    return {m.span(1) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', text)}
+
+
+def test_the_field_adds_what_is_planted_in_documents_and_nothing_else(data):
+    """Precision of the added spans, and recall of documents that hold a base span, a number of 16 digits or a token."""
+    texts = [r["text"] or "" for r in pq.read_table(f"{data}/documents.parquet").to_pylist()]
+    made = right = caught = planted = 0
+    for text, (base, every, secrets) in zip(texts, pii.Finder().found(texts)):
+        added = {(a, b) for a, _, b in set(every) - set(base)} | {(a, b) for a, _, b in secrets}
+        truth = digit_runs(text) | hex_tokens(text)
+        made, right = made + len(added), right + len(added & truth)
+        if base or truth:
+            planted += 1
+            caught += bool(every or secrets)
+        else:
+            assert not every and not secrets
+    assert right > 0 and right >= 0.95 * made and caught >= 0.98 * planted > 0
+
+
+def test_secrets_are_known_again_where_they_are_bare():
+    value = "bee4a2827eb113d73cb298acc0f727ef99bdc461"
+    finder = pii.Finder()
+    (_, every, secrets), (_, _, bare) = finder.found([f"token = \"{value}\" is old. " + "word " * 500 + f"so {value}!! goes", f"commit {value} of main"])
+    text = f"token = \"{value}\" is old. " + "word " * 500 + f"so {value}!! goes"
+    assert every == [] and [text[a:b] for a, _, b in secrets] == [value, value] and bare == []
+
+
+def test_windows_of_long_texts_agree_with_the_whole(monkeypatch):
+    rng, finder = random.Random(27), pii.Finder()
+    parts = []
+    for k in range(400):
+        a, b = rng.randrange(100, 1000), rng.randrange(1000, 10_000)
+        parts += [prose(rng, 9), rng.choice([f"+1 ({a}) 555-{b}", f"mail{k}.x@mail.example.com", f"{rng.randrange(10**15, 10**16)}", f"{a}", f'token = "{rng.getrandbits(160):040x}"', f"555-{b}"])]
+    text = prose(rng, 40).join([" +1 (988) 555-2485 ", " ".join(parts), " only 555-2485 works "])
+    whole = finder.found([text])[0]
+    monkeypatch.setattr(pii, "WINDOW", 1500)
+    cut = finder.found([text])[0]
+    assert cut[0] == whole[0] == pii.base_spans(text)
+    found = [set(x[1]) | set(x[2]) for x in (whole, cut)]
+    assert len(found[0] ^ found[1]) <= 0.02 * len(found[0])
+    assert "555-2485" in {text[a:b] for a, _, b in set(cut[1]) - set(cut[0])}
+
+
+def test_long_texts_of_numbers_need_bounded_memory():
+    code = """
+import random, resource
+from webloom.llm import pii
+rng = random.Random(1)
+finder = pii.Finder()
+texts = [" ".join(str(rng.randrange(10**n)) for _ in range(5_000_000 // (n + 1))) for n in (3, 6)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for text in texts:
+    finder.found([text])
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 400
+
+
 def test_personal_data_odd_rows(spark, odd, empty):
     got = pii.find(odd).collect()
     assert len(got) == 10 and all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() and r["spans"] == "" for r in got)
@@ -372,7 +435,7 @@ def test_every_token_leaves_a_window():
     # Windows let tokens go before the stream has ended: a round never sees more than its window.
     seen, merged = [], model.merged
     model.merged = lambda data, starts, ends: seen.append(int((ends - starts).max())) or merged(data, starts, ends)
-    model.known.clear()
+    model.known = textvec.Remembered(bpe.KNOWN)
     assert [x.tolist() for x in model.encode(words)] == [x.tolist() for x in ids] and max(seen) == model.window and len(seen) >= 2
 
 

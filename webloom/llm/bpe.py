@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import session
-from .textvec import distinct, slices
+from .textvec import Remembered, distinct, slices
 
 #: Widest window in bytes that is merged as a row of an array; wider ones are merged one by one from a heap.
 LOCKSTEP = 48
@@ -166,7 +166,7 @@ class Transducer:
         self._slots()
         self.lookahead = sufficient_lookahead(list(zip(left.tolist(), right.tolist())), made.tolist(), dict(enumerate(self.sizes.tolist())))
         self.window = max(4 * self.lookahead, 256)
-        self.known: dict[bytes, bytes] = {}
+        self.known = Remembered(KNOWN)
         self.emitted = 0  # tokens that left a window
 
     #: Rank of a pair that is no merge.
@@ -333,17 +333,15 @@ class Transducer:
         first, back = distinct(data, starts, ends)
         raw = data.tobytes()
         keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        made = [self.known.get(k) for k in keys]
+        made = self.known.many(keys)
         new = [i for i, ids in enumerate(made) if ids is None]
         if new:
-            if len(self.known) + len(new) > KNOWN:
-                self.known.clear()
             ids, n = self.streams(data, starts[first[new]], ends[first[new]])
             whole, cuts = ids.astype("<i4").tobytes(), (4 * np.concatenate([[0], np.cumsum(n)])).tolist()
             for i, a, b in zip(new, cuts, cuts[1:]):
                 made[i] = whole[a:b]
-                if len(keys[i]) <= KNOWN_BYTES and len(self.known) < KNOWN:
-                    self.known[keys[i]] = made[i]
+                if len(keys[i]) <= KNOWN_BYTES:
+                    self.known.put(keys[i], made[i])
         n = np.array([len(ids) // 4 for ids in made], np.int64)
         flat, begin, counts = np.frombuffer(b"".join(made), "<i4"), np.cumsum(n) - n, n[back]
         total = np.cumsum(counts) - counts

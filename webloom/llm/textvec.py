@@ -170,3 +170,27 @@ def row_sums(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, values.dtype)
     np.cumsum(values, out=total[1:])
     return total[rows[1:]] - total[rows[:-1]]
+
+
+class Remembered:
+    """What was made of byte strings, at most `most` of them: the ones used least lately go, half at a time."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most // 2, {}, {}
+
+    def __len__(self) -> int:
+        return len(self.new) + len(self.old)
+
+    def many(self, keys: list[bytes]) -> list:
+        """The value of each key, None where there is none."""
+        values = [self.new.get(k) for k in keys]
+        for i in [i for i, v in enumerate(values) if v is None]:
+            values[i] = self.old.pop(keys[i], None)
+            if values[i] is not None:
+                self.put(keys[i], values[i])
+        return values
+
+    def put(self, key: bytes, value) -> None:
+        if len(self.new) >= self.most:
+            self.new, self.old = {}, self.new
+        self.new[key] = value

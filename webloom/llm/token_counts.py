@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import session
-from .textvec import Words, distinct, row_sums, slices, utf8
+from .textvec import Remembered, Words, distinct, row_sums, slices, utf8
 
 #: Distinct pieces whose lengths a worker remembers, and the bytes of the longest one remembered.
-KNOWN, KNOWN_BYTES = 300_000, 64
+KNOWN, KNOWN_BYTES = 600_000, 64
 #: Bytes of pieces in one call of the library.
 CALL_BYTES = 1 << 18
 
@@ -44,7 +44,7 @@ class Lengths:
             model.no_padding()
             self.encode = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
             self.whole = not splits_at_space(path)
-        self.known: dict[bytes, int] = {}
+        self.known = Remembered(KNOWN)
 
     def batches(self, pieces: list[str]):
         """Lists of pieces of about CALL_BYTES each."""
@@ -67,14 +67,13 @@ class Lengths:
         words = Words(data, offsets, lower=False, hashed=False)
         first, back = distinct(data, words.starts, words.ends)
         keys = [raw[a:b] for a, b in zip(words.starts[first].tolist(), words.ends[first].tolist())]
-        counts = np.array([self.known.get(k, -1) for k in keys], np.int64)
+        counts = np.array([-1 if n is None else n for n in self.known.many(keys)], np.int64)
         new = np.flatnonzero(counts < 0)
         if len(new):
             counts[new] = self.lengths([keys[i].decode("utf-8", "replace") for i in new.tolist()])
-            if len(self.known) + len(new) > KNOWN:
-                self.known.clear()
-            small = [i for i in new.tolist() if len(keys[i]) <= KNOWN_BYTES][:KNOWN]
-            self.known.update((keys[i], n) for i, n in zip(small, counts[small].tolist()))
+            for i in new.tolist():
+                if len(keys[i]) <= KNOWN_BYTES:
+                    self.known.put(keys[i], int(counts[i]))
         return row_sums(counts[back], words.rows)
 
 
