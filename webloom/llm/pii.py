@@ -42,13 +42,13 @@ MIXED = 16
 SURE = 0.7
 ROUNDS = 12
 #: Characters of a long text that go through the field at once.
-WINDOW = 1 << 17
+WINDOW = 1 << 18
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A run of digits is taken whole or not at all, so a long run costs its length once.
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
