@@ -124,14 +124,18 @@ def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 
 class Words:
-    """Words ([^\\x20\\x09-\\x0D]+) of every row: starts, ends, hashes (if hashed), and rows' offsets into them."""
+    """Words ([^\\x20\\x09-\\x0D]+) of every row: starts, ends, hashes (if hashed), and rows' offsets into them;
+    with ideographs each character from U+3000 to U+9FFF is a word, since they have no spaces between words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _IS_SPACE, hashed: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, space: np.ndarray = _IS_SPACE, hashed: bool = True, ideographs: bool = False):
         n = len(data)
         solid = np.zeros(n + 2, bool)
         solid[1 : n + 1] = ~space[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
+        if ideographs:  # each of the characters whose three bytes begin with E3 to E9 is a word
+            lead = np.flatnonzero((data >= 0xE3) & (data <= 0xE9))
+            edge[lead] = edge[np.minimum(lead + 3, n)] = True
         here = solid[1 : n + 1]
         self.starts = np.flatnonzero(here & (~solid[:n] | edge[:n]))
         self.ends = np.flatnonzero(here & (~solid[2 : n + 2] | edge[1:])) + 1
