@@ -43,6 +43,8 @@ BANDS = 48
 SKETCH = 8
 #: Slots in which shingles are counted for their order.
 SLOTS = 1 << 18
+#: 64-bit words of the bit set that tells which texts are worth another look.
+FILTER = 1 << 19
 #: Tries of an empty bin.
 PROBES = 64
 
@@ -103,31 +105,52 @@ def _signatures(width: int):
     return run
 
 
-def _sets(width: int):
-    def run(batches):
-        for part, values, rows in _shingled(batches, width):
-            raw = values.tobytes()
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[x * 8 : y * 8] for x, y in zip(rows[:-1].tolist(), rows[1:].tolist())], pa.binary())], ["doc_id", "shingles"])
+#: Where the bit of an id is.
+_PLACE = (f"cast(pmod(xxhash64(doc_id), {FILTER}) AS int) AS word", "cast(shiftrightunsigned(xxhash64(doc_id), 58) AS int) AS bit")
 
-    return run
+
+def _filter(ids: DataFrame):
+    """A broadcast set of bits: that of each doc_id is set.  Its size is fixed, so with very many ids it lets others pass
+    too; the joins behind it drop them.  It spares the texts a shuffle."""
+    bits = ids.selectExpr(*_PLACE).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+    out = np.zeros(FILTER, np.int64)
+    out[bits["word"].to_numpy()] = bits["bits"].to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(out)
+
+
+def _chosen(texts: DataFrame) -> DataFrame:
+    """(doc_id, text, word, bit): the texts with the place of their id in a filter."""
+    return texts.where("doc_id IS NOT NULL").selectExpr("doc_id", "text", *_PLACE)
 
 
-def _shingled(batches, width: int):
-    """(rows, their shingles, offsets) of batches (doc_id, text, ...), in parts of bounded bytes."""
+def _shingled(batches, width: int, shared=None):
+    """(rows, their shingles, offsets) of batches (doc_id, text, ...), in parts of bounded bytes; only those in the filter."""
     for batch in batches:
+        if shared is not None:
+            word, bit = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            batch = batch.filter(pa.array((shared.value[word] >> bit & 1).astype(bool)))
         for a, b in slices(batch.column(1)):
             part = batch.slice(a, b - a)
             yield part, *shingles(Words(*utf8(part.column(1))), width)
 
 
+def _sets(width: int, shared):
+    def run(batches):
+        for part, values, rows in _shingled(batches, width, shared):
+            raw = values.tobytes()
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[x * 8 : y * 8] for x, y in zip(rows[:-1].tolist(), rows[1:].tolist())], pa.binary())], ["doc_id", "shingles"])
+
+    return run
+
+
 def _slot(values: np.ndarray) -> np.ndarray:
     return (mix(values, 4) % np.uint64(SLOTS)).astype(np.int64)
 
 
-def _counts(width: int):
+def _counts(width: int, shared):
     def run(batches):
         total = np.zeros(SLOTS, np.int64)
-        for _, values, _ in _shingled(batches, width):
+        for _, values, _ in _shingled(batches, width, shared):
             total += np.bincount(_slot(values), minlength=SLOTS)
         slots = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], ["slot", "n"])
@@ -145,13 +168,11 @@ def prefixes(values: np.ndarray, rows: np.ndarray, often: np.ndarray, percent: i
     return owner[first], values[order][first], place[first]
 
 
-def _tokens(width: int, percent: int, shared):
+def _tokens(width: int, percent: int, shared, often):
     def run(batches):
-        often = shared.value
-        for part, values, rows in _shingled(batches, width):
-            owner, token, place = prefixes(values, rows, often, percent)
-            of = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), part.column(0).take(of), part.column(2).take(of), pa.array(np.diff(rows)[owner]), pa.array(place)], ["token", "doc_id", "comp", "n", "place"])
+        for part, values, rows in _shingled(batches, width, shared):
+            owner, token, place = prefixes(values, rows, often.value, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), part.column(0).take(pa.array(owner)), pa.array(place)], ["token", "doc_id", "place"])
 
     return run
 
@@ -210,7 +231,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     """Those of the pairs (a, b) whose full sets are linked."""
     pairs = session.written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = session.written(texts.join(ends, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id bigint, shingles binary"), "sets")
+    sets = session.written(_chosen(texts).mapInArrow(_sets(width, _filter(ends)), "doc_id bigint, shingles binary"), "sets")
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     return session.written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
 
@@ -230,22 +251,26 @@ def _between(shared: DataFrame, together: DataFrame, texts: DataFrame, width: in
     left = session.written(session.joined_back(label, mixed.select("bucket"), "bucket").drop("bucket").dropDuplicates(["doc_id"]), "open")
     if left.isEmpty():
         return None
-    open_texts = texts.join(left.select("doc_id", "comp"), "doc_id").select("doc_id", "text", "comp")
+    shared, texts = _filter(left), _chosen(texts)
     often = np.zeros(SLOTS, np.int64)
-    counted = open_texts.mapInArrow(_counts(width), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counted = texts.mapInArrow(_counts(width, shared), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     often[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    tokens = open_texts.mapInArrow(_tokens(width, percent, spark.sparkContext.broadcast(often)), "token bigint, doc_id bigint, comp bigint, n bigint, place bigint")
-    tokens = session.written(tokens.withColumn("indexed", F.expr(f"place <= n + floor(-2 * {percent} * n / {100 + percent})")), "tokens")
+    tokens = texts.mapInArrow(_tokens(width, percent, shared, spark.sparkContext.broadcast(often)), "token bigint, doc_id bigint, place bigint")
+    tokens = tokens.join(left.select("doc_id", "n", "comp"), "doc_id").withColumn("indexed", F.expr(f"place <= n + floor(-2 * {percent} * n / {100 + percent})"))
+    tokens = session.written(tokens, "tokens")
     met = tokens.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("indexed").alias("some")).where("low <> high AND some")
     rows = session.joined_back(tokens, met.select("token"), "token").join(left.drop("comp", "n"), "doc_id")
     rows = session.written(rows, "met")
     # Components meet first, so that the many members of one are never paired with each other.
-    sides = rows.groupBy("token", "comp").agg(F.max("indexed").alias("some"))
-    cross = sides.where("some").select("token", F.col("comp").alias("one")).join(sides.select("token", F.col("comp").alias("two")), "token").where("one <> two")
+    sides = rows.groupBy("token", "comp").agg(F.count("*").alias("size"), F.sum(F.col("indexed").cast("long")).alias("indexed"))
+    cross = sides.where("indexed > 0").select("token", F.col("comp").alias("one"), F.col("indexed").alias("n1")).join(sides.select("token", F.col("comp").alias("two"), F.col("size").alias("n2")), "token").where("one <> two")
     fits = f"l.n <= r.n AND least(l.n - l.place, r.n - r.place) * {100 + percent} >= {percent} * (l.n + r.n) AND {_likely('l', 'r', percent)}"
-    left_rows = cross.join(rows.where("indexed").withColumnRenamed("comp", "one"), ["token", "one"])
-    pairs = left_rows.alias("l").join(rows.alias("r"), F.expr(f"l.token = r.token AND l.two = r.comp AND {fits}"))
-    more = _confirmed(pairs.select("l.doc_id", "r.doc_id").toDF("a", "b"), texts, width, percent)
+    index, probe = rows.where("indexed").withColumnRenamed("comp", "one"), rows.withColumnRenamed("comp", "two")
+    # The smaller side of two components takes its members first; the other side's join lets only likely pairs through.
+    few = cross.where("n1 <= n2").join(index, ["token", "one"]).alias("l").join(probe.alias("r"), F.expr(f"l.token = r.token AND l.two = r.two AND {fits}"))
+    many = cross.where("n1 > n2").join(probe, ["token", "two"]).alias("r").join(index.alias("l"), F.expr(f"l.token = r.token AND l.one = r.one AND {fits}"))
+    pairs = few.select("l.doc_id", "r.doc_id").toDF("a", "b").union(many.select("l.doc_id", "r.doc_id").toDF("a", "b"))
+    more = _confirmed(pairs, texts.select("doc_id", "text"), width, percent)
     return None if more.isEmpty() else more
 
 
