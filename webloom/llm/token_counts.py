@@ -12,6 +12,7 @@ Defined results: null and empty texts count 0 tokens; columns other than the id
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from . import session
 from .textvec import Remembered, Words, distinct, row_sums, slices, utf8
 
 #: Distinct pieces whose lengths a worker remembers, and the bytes of the longest one remembered.
-KNOWN, KNOWN_BYTES = 600_000, 64
+KNOWN, KNOWN_BYTES = 400_000, 64
 #: Bytes of pieces in one call of the library.
 CALL_BYTES = 1 << 18
 
@@ -37,6 +38,7 @@ class Lengths:
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.encode = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             from tokenizers import Tokenizer
 
             model = Tokenizer.from_file(path)
