@@ -67,29 +67,60 @@ def test_suffix_automaton_knows_exactly_the_substrings():
         assert (state >= 0) == (word in known)
 
 
-def test_phrases_equal_greedy_parsing():
-    model = language_id.Model({"a": ["the cat sat on the mat"], "b": ["un chat sur le tapis"]})
+@pytest.mark.parametrize("window", [4, 256])
+def test_phrases_equal_greedy_parsing(monkeypatch, window):
+    """Whole texts are parsed from start to end, however long their windows are."""
+    monkeypatch.setattr(language_id, "WINDOW", window)
+    sources = (["the cat sat on the mat"], ["un chat sur le tapis, ж"])
+    model = language_id.Model({"a": sources[0], "b": sources[1]})
     rng = random.Random(5)
-    for text in ["", "12 !", "the mat, the CAT!", "xyz", *("".join(rng.choice("thecatonm  ,.é") for _ in range(n)) for n in (7, 90, 255, 256, 257, 900))]:
-        codes, letters = model.encode([text])
-        made, n, _ = model.phrases([text])
-        assert n[0] == len(codes[0])
-        for k, source in enumerate((["the cat sat on the mat"], ["un chat sur le tapis"])):
+    for texts in [["", "12 !", "the mat, the CAT!", "xyz"], ["".join(rng.choice("thecatonm  ,.éжqЖ") for _ in range(n)) for n in (7, 90, 255, 256, 257, 0, 900, 513)]]:
+        codes, letters = model.encode(texts)
+        made, n, count = model.phrases(texts)
+        assert n.tolist() == [len(c) for c in codes] and count.tolist() == letters.tolist() == [sum(map(str.isalpha, t)) for t in texts]
+        for k, source in enumerate(sources):
             known, _ = model.encode(source)
-            whole = [*known[0].tolist(), language_id.SPACE]
-            windows = [codes[0][i : i + language_id.WINDOW].tolist() for i in range(0, len(codes[0]), language_id.WINDOW)]
-            count = 0
-            for w in windows:
-                i = 0
+            whole = bytes([*known[0].tolist(), language_id.SPACE])
+            for text, code, got in zip(texts, codes, made[k].tolist()):
+                w, i, phrases = bytes(code.tolist()), 0, 0
                 while i < len(w):
                     j = i + 1
-                    while j < len(w) and any(whole[s : s + j + 1 - i] == w[i : j + 1] for s in range(len(whole))):
+                    while j < len(w) and w[i : j + 1] in whole and w[i : i + 1] in whole:
                         j += 1
-                    first = any(whole[s] == w[i] for s in range(len(whole)))
-                    # A symbol that no labelled text has is a phrase of its own.
-                    count += 1
-                    i = j if first else i + 1
-            assert abs(int(made[k][0]) - count) <= len(windows), text
+                    i, phrases = j, phrases + 1
+                assert got == phrases, text
+
+
+def test_packed_steps_are_those_of_the_table():
+    rng = random.Random(29)
+    for symbols in (3, 9, 60):
+        table = language_id.suffix_automaton([rng.randrange(1, symbols) for _ in range(1500)], symbols)
+        cells, root = language_id.packed(table)
+        base = {0: 0}
+        todo = [0]
+        while todo:
+            s = todo.pop()
+            for c in range(symbols):
+                cell = int(cells[base[s] + c])
+                assert (cell >> 32 == base[s]) == (table[s, c] >= 0)
+                if table[s, c] >= 0 and int(table[s, c]) not in base:
+                    base[int(table[s, c])] = cell & 0xFFFFFFFF
+                    todo.append(int(table[s, c]))
+        assert len(set(base.values())) == len(table) and [c >= 0 for c in root] == [x >= 0 for x in table[0]]
+        assert len(cells) < 3 * (table >= 0).sum() + 2000
+
+
+def test_every_label_and_script_is_learned(spark):
+    """More labels than any fixed number of them, in scripts of their own, among them one with thousands of letters."""
+    rng = random.Random(30)
+    scripts = {"ru": range(0x430, 0x450), "el": range(0x3B1, 0x3CA), "he": range(0x5D0, 0x5EB), "zh": range(0x4E00, 0x5800), "ko": range(0xAC00, 0xB000)} | {f"l{k}": [ord(c) for c in rng.sample("abcdefghijklmnopqrstuvwxyz", 5)] for k in range(75)}
+    words = {lang: ["".join(chr(rng.choice(of)) for _ in range(5)) for _ in range(12)] for lang, of in scripts.items()}
+    rows = [(i, " ".join(rng.choices(words[lang], k=40)), lang) for i, lang in enumerate(list(scripts) * 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(docs)
+    assert set(model.languages) == set(scripts)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs.drop("lang"), model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
 
 
 def test_language_held_out_accuracy_and_no_leak(spark, data):
