@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -166,7 +167,7 @@ def test_line_runs_equal_the_definition(spark):
             lines.append(long)
         rows.append((d, "\n".join(lines)))
     rows += [(100, rows[0][1]), (101, "\n".join([long] * 4)), (102, ""), (103, "\n\n")]
-    got = {r["doc_id"]: (r["text"], r["lines_deleted"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {r["doc_id"]: (r["text"], r["lines_deleted"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), whole_runs=False).collect()}
     want = brute_lines(rows)
     assert {d: t for d, (t, _) in got.items()} == {d: t for d, (t, _) in want.items()}
     assert {d: n for d, (_, n) in got.items()} == {d: n for d, (_, n) in want.items()}
@@ -176,15 +177,21 @@ def test_line_runs_equal_the_definition(spark):
 def brute_runs(rows, least=line_dedup.LEAST_WORDS):
     """Lines of each row that belong to a later copy of a repeated run of enough words, by trying every run."""
     seen, cut = set(), {}
-    for key, text in sorted(rows):
+    count = Counter(x for _, text in rows for x in (text or "").split("\n"))
+    for key, text in sorted((r for r in rows if r[1] is not None)):
         lines = text.split("\n")
         words = [x.count(" ") + 1 if x else 0 for x in lines]
         gone = set()
         for i in range(len(lines)):
-            for j in range(i + 1, len(lines) + 1):
-                if sum(words[i:j]) >= least and tuple(lines[i:j]) in seen:
-                    gone |= set(range(i, j))
-                seen.add(tuple(lines[i:j]))
+            n = 0
+            for j in range(i, len(lines)):
+                if count[lines[j]] == 1:  # no run with this line is repeated
+                    break
+                n += words[j]
+                if n >= least and tuple(lines[i : j + 1]) in seen:
+                    gone |= set(range(i, j + 1))
+                if n >= least:
+                    seen.add(tuple(lines[i : j + 1]))
         cut[key] = "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)
     return cut
 
@@ -199,12 +206,24 @@ def test_whole_runs_equal_brute_force(spark):
         if d % 3 == 0:
             rows[-1] = (d, rows[-1][1] + "\n" + "\n".join(pool[rng.randrange(5) :]))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r["doc_id"]: (r["text"], r["lines_deleted"]) for r in line_dedup.dedup_lines(df, whole_runs=True).collect()}
+    got = {r["doc_id"]: (r["text"], r["lines_deleted"]) for r in line_dedup.dedup_lines(df).collect()}
     want = brute_runs(rows)
     assert got == want and got[1] == ("own 1\nend 1", 3)
     assert sum(n for _, n in want.values()) > sum(n for _, n in brute_lines(rows).values())
 
 
+def test_line_query_equals_brute_force_and_its_sql(spark, data):
+    import duckdb
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    got = {r["doc_id"]: (r["text"], r["lines_deleted"]) for r in line_dedup.query(spark, data).collect()}
+    want = brute_runs(rows)
+    assert got == want and sum(n for _, n in want.values()) > 50
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+        assert {d: (t, n) for d, t, n in db.execute(line_dedup.ORACLE).fetchall()} == want
+
+
 def test_line_runs_odd_rows(spark, odd, empty):
     got = line_dedup.dedup_lines(odd).collect()
     assert len(got) == 10 and all(r["lines_deleted"] == 0 for r in got)
@@ -236,7 +255,7 @@ def test_pipeline_equals_brute_force_stages(spark, data):
             assert set(left) <= letters and len(left) >= 0.98 * len(letters)
             assert all(left[d] == rows[d] for d in left)
         elif name == "line_dedup":
-            want = brute_lines([(d, r["text"]) for d, r in rows.items()])
+            want = brute_runs([(d, r["text"]) for d, r in rows.items()])
             assert {d: r["text"] for d, r in left.items()} == {d: t for d, (t, n) in want.items() if not n or t.strip()}
             assert all(r["n_chars"] == len(r["text"]) for d, r in left.items() if want[d][1])
         elif name == "near_dedup":

@@ -1,11 +1,10 @@
 """Line dedup: a suffix array over line-ID sequences by prefix doubling; later copies of repeated line runs are deleted.
 
-Only DataFrame functions are used.  A passage is a run of whole lines that starts at some line and goes on until it has
-LEAST_WORDS words (a line's words are its spaces plus one, none in an empty line).  Every passage that occurred earlier,
-in the order of (doc_id, line number), is deleted.  The union of these passages can lack the last lines of a maximal
-repeated run, where fewer than LEAST_WORDS words are left behind the run's last passage; with whole_runs these lines go
-too, and what is deleted is exactly the later copies of all maximal repeated runs of LEAST_WORDS words or more.  The
-registered query deletes passages, as its SQL does; the pipeline deletes whole runs.
+Only DataFrame functions are used.  A run of whole lines with LEAST_WORDS words or more (a line's words are its spaces plus
+one, none in an empty line) that occurred earlier, in the order of (doc_id, line number), is deleted: what goes is exactly
+the later copies of all maximal repeated runs.  A passage is the shortest run from a line on that has LEAST_WORDS words;
+every repeated run is a union of repeated passages but for its last lines, which are followed up from its passages.  With
+whole_runs=False only passages are deleted, so these last lines can stay.
 
 1. Lines become IDs.  IDs that occur once are unique suffixes already and leave; the others get ranks.
 2. Doubling: the rank of a suffix by its first 2^(k+1) lines is the rank of its pair (rank by 2^k lines here, rank by 2^k
@@ -115,9 +114,9 @@ def _renamed(pairs: DataFrame) -> DataFrame:
     return made.select(F.col("x").alias("rank"), F.col("y").alias("next"), F.col("rank").alias("to"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, count_col: str = "lines_deleted", whole_runs: bool = False) -> DataFrame:
-    """docs with later copies of repeated passages (whole_runs: of maximal repeated runs) cut out of the text, and their number of lines as count_col, which
-    takes the place of a column of that name."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, count_col: str = "lines_deleted", whole_runs: bool = True) -> DataFrame:
+    """docs with later copies of maximal repeated runs (or only of passages) cut out of the text, and their number of lines as
+    count_col, which takes the place of a column of that name."""
     key, tie, cut = (session.free(n, *docs.columns) for n in ("key", "tie", "cuts"))
     copies = later_copies(docs, id_col, text_col, least_words, whole_runs)
     by_doc = Window.partitionBy(*_DOC).orderBy("pos", "last")
@@ -154,13 +153,15 @@ WITH lines AS (
 counted AS (SELECT *, CASE WHEN line = '' THEN 0 ELSE length(line) - length(replace(line, ' ', '')) + 1 END AS words FROM lines),
 summed AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM counted),
 ended AS (
-    SELECT doc_id, pos, before, max(pos) OVER w AS last, max(before + words) OVER w AS reached
-    FROM summed WINDOW w AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND {LEAST_WORDS - 1} FOLLOWING)),
+    SELECT doc_id, pos, before, max(pos) OVER w AS last, max(before + words) OVER w AS reached, max(pos) OVER v AS until
+    FROM summed WINDOW w AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND {LEAST_WORDS - 1} FOLLOWING),
+                       v AS (PARTITION BY doc_id ORDER BY before + words RANGE BETWEEN CURRENT ROW AND {LEAST_WORDS - 1} FOLLOWING)),
+runs AS (SELECT doc_id, pos, unnest(range(last, greatest(last, until) + 1)) AS last FROM ended WHERE reached - before >= {LEAST_WORDS}),
 passages AS (
-    SELECT e.doc_id, e.pos, e.last, array_to_string(string_split(d.text, chr(10))[e.pos + 1 : e.last + 1], chr(10)) AS passage
-    FROM ended e JOIN documents d USING (doc_id) WHERE e.reached - e.before >= {LEAST_WORDS}),
+    SELECT r.doc_id, r.pos, r.last, array_to_string(string_split(d.text, chr(10))[r.pos + 1 : r.last + 1], chr(10)) AS passage
+    FROM runs r JOIN documents d USING (doc_id)),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY doc_id, pos) AS copy FROM passages),
-copies AS (SELECT doc_id, pos, last FROM numbered WHERE copy > 1),
+copies AS (SELECT doc_id, pos, max(last) AS last FROM numbered WHERE copy > 1 GROUP BY ALL),
 covered AS (
     SELECT l.doc_id, l.pos, l.line, coalesce(max(c.last) OVER (PARTITION BY l.doc_id ORDER BY l.pos), -1) >= l.pos AS gone
     FROM lines l LEFT JOIN copies c ON c.doc_id = l.doc_id AND c.pos = l.pos)
