@@ -1,6 +1,7 @@
 """Scalar functions on literal inputs and expected outputs."""
 
 import datetime
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,20 +40,31 @@ def test_canonical_columns_agree(spark):
     assert all(r["a"] == r["b"] for r in got)
 
 
+HASH = hashlib.sha1(b"d=1").hexdigest()[:8]
+
+
 @pytest.mark.parametrize(
     ("args", "want"),
     [
         (("https://h.ru/a/b.html",), "h.ru/a/b.html"), (("https://h.ru/",), "h.ru/index.html"), (("https://h.ru/a",), "h.ru/a/index.html"), (("https://h.ru/a.php", ".html"), "h.ru/a.php.html"),
-        (("https://h.ru:81/a/x.pdf?d=1",), "h.ru_81/a/x@" + urls.digest("d=1") + ".pdf"), (("https://h.ru/d/1", ".epub", "Имя.epub"), "h.ru/d/1/Имя.epub"), (("https://h.ru/con/a:b.txt",), "h.ru/_con/a_b.txt"),
+        (("https://h.ru:81/a/x.pdf?d=1",), f"h.ru_81/a/x@{HASH}.pdf"), (("https://h.ru/d/1", ".epub", "Имя.epub"), "h.ru/d/1/Имя.epub"), (("https://h.ru/con/a:b.txt",), "h.ru/_con/a_b.txt"),
+        (("https://h.ru",), "h.ru/index.html"), (("https://h.ru/a/?d=1", ".xml"), f"h.ru/a/index@{HASH}.xml"), (("https://h.ru/%D0%B6+x/%2Fa.HTM", ".html"), "h.ru/ж+x/_a.HTM"), (("https://h.ru/../%zz/. ./x.y.tar.gz",), "h.ru/_/%zz/_/x.y.tar.gz"),
+        (("https://U@H.ru//Aux.txt",), "h.ru/_/_Aux.txt"),
     ],
 )
-def test_relative_path(args, want):
-    assert urls.relative_path(*args) == want
+def test_relative_path(spark, args, want):
+    row = spark.createDataFrame([(*args, None, None)[:3]], "u string, e string, g string")
+    assert row.select(urls.relative_path("u", F.col("e"), F.col("g"))).first()[0] == want
 
 
-def test_long_names_are_cut():
-    assert len(urls.file_name("x" * 300 + ".html")) <= urls.LONGEST_NAME and urls.file_name("x" * 300 + ".html").endswith(".html")
-    assert len(urls.relative_path("https://h.ru/" + "/".join(["segment" * 5] * 20) + "/a.html")) <= urls.LONGEST_PATH
+def test_long_names_are_cut(spark):
+    names = ["x" * 300 + ".html", "y" * 300, "z" * 95 + ".unlikely-long"]
+    made = [r[0] for r in spark.createDataFrame([(n,) for n in names], "v string").select(urls.file_name("v")).collect()]
+    assert all(len(m) <= urls.LONGEST_NAME for m in made) and made[0].endswith(".html") and "~" in made[1]
+    assert made[1] == "y" * 91 + "~" + hashlib.sha1(b"y" * 300).hexdigest()[:8]
+    deep = "https://h.ru/" + "/".join(["segment" * 5] * 20) + "/a.html"
+    path = column(spark, deep, "string", urls.relative_path("v"))[0]
+    assert len(path) <= urls.LONGEST_PATH and path.startswith("h.ru/segment") and f"/_long/{hashlib.sha1(deep.encode()).hexdigest()[:12]}/a.html" in path
 
 
 def column(spark, value, kind, *columns):
@@ -62,11 +74,17 @@ def column(spark, value, kind, *columns):
 def test_url_columns(spark):
     assert list(column(spark, "https://U@h.Example.com:81/a/b.FB2.zip?x=1#y", "string", urls.host_of("v"), urls.path_of("v"), urls.query_of("v"), urls.extension("v"), urls.kind_by_extension("v"), urls.section("v"))) == ["h.example.com", "/a/b.FB2.zip", "x=1", "fb2.zip", "media", "a"]
     assert column(spark, "Text/HTML; charset=x", "string", urls.base_content_type("v"), urls.content_extension("v")) == ("text/html", ".html")
-    assert column(spark, "a/b.tar.gz", "string", urls.told_apart("v", "v"))[0] == f"a/b.tar~{urls.digest('a/b.tar.gz', 6)}.gz"
+    assert column(spark, "a/b.tar.gz", "string", urls.told_apart("v", "v"), F.lit(urls.digest("a/b.tar.gz", 6))) == ("a/b.tar~1ca88b.gz", "1ca88b")
     assert column(spark, "д#/a b'~", "string", urls.encoded_path("v"))[0] == "%D0%B4%23/a%20b%27~"
     assert column(spark, "x12y34", "string", urls.rewrite_first("v", [(r"(\d)(\d)", r"\2\1")]))[0] == "x21y34"
 
 
+def test_content_extensions(spark):
+    kinds = {**urls.CONTENT_EXT, "Image/X-Icon; q=1": ".ico", "audio/mp4": ".m4a", "application/epub+zip": ".epub", "font/woff2": ".woff2", "application/x-tar": ".tar", "x/y": ".bin", "": ".bin", None: ".bin"}
+    rows = spark.createDataFrame([(k,) for k in kinds], "v string")
+    assert {r[0]: r[1] for r in rows.select("v", urls.content_extension("v")).collect()} == kinds
+
+
 def test_search_form():
     assert text.search_form("Ёлка и̇ Сергий а́ бо́й ў") == "Елка и Сергий а бой ў"
     assert text.search_form("Crème Ångström") == "Creme Angstrom" and text.search_form("ß") == "ß"

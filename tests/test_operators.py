@@ -20,11 +20,16 @@ WANTED = {
 }
 
 
-def test_links_of_a_page():
-    page = links.Page(PAGE)
-    assert {(u, k) for u, k, _ in page.links} == WANTED
-    assert (page.base, page.title, page.canonical) == ("/b/", "A page", "/c")
-    assert links.Page("<a href=/x <<<").links is not None
+def test_links_of_a_page(spark):
+    found = links.from_html(spark.createDataFrame([(1, PAGE), (2, "<a href=/x <<<"), (3, None)], "id int, h string"), "id", "h").collect()
+    rows = sorted((r for r in found if r["id"] == 1), key=lambda r: r["seq"])
+    assert {(r["url"], r["kind"]) for r in rows} == WANTED and {r["base"] for r in rows} == {"/b/"}
+    assert len({r["seq"] for r in rows}) == len(rows) and [r["url"] for r in rows[:3]] == ["s.css", "/c", "/f.ico"]
+    sources = {r["url"]: r["source"] for r in rows}
+    assert {u: sources[u] for u in ("/c", "s.css", "/f.ico", "i.css", "/next", "s1.png", "lazy.jpg", "st.png", "/d/1", "/f/t.mp3", "bg.gif", "p.jpg")} == {
+        "/c": "link:canonical", "s.css": "link:stylesheet", "/f.ico": "link", "i.css": "style@import", "/next": "meta:refresh", "s1.png": "img:srcset", "lazy.jpg": "img:data-src", "st.png": "div:style", "/d/1": "div:data-href", "/f/t.mp3": "script:path",
+        "bg.gif": "body:background", "p.jpg": "video:poster",
+    }
 
 
 def test_links_by_content_type(spark):
@@ -128,7 +133,9 @@ def test_main_text():
     assert main_text.title_and_text("<title>T</title><div class=menu><ul><li>x<main><p>in</main></div>")[1].endswith("in")
     assert main_text.title_and_text('<div class="menu">' + "long text " * 400 + "</div>")[1].startswith("long text")
     assert main_text.title_and_text("<nav>unclosed<p>x</body><p>after") == ("", "after")
-    assert [main_text.boiler_word(w) for w in ("menu", "menu-toggle", "has-sidebar", "post-header", "site-header", "comment-list", "ad")] == [True, False, False, False, True, True, False]
+    assert main_text.title_and_text("<ul><li class=menu-item>Home<li>Kept</ul><p>Text") == ("", "Kept\nText")
+    assert main_text.title_and_text("<p>" + "a" * 30 + "<p>b", limit=20)[1] == "a" * 30 and main_text.title_and_text("<b>" * 1200 + "x<p>y", limit=None, depth=None)[1] == "x\ny"
+    assert [main_text.boiler_word(w) for w in ("menu", "menu-toggle", "has-sidebar", "post-header", "site-header", "comment-list", "ad", "nav_", "-nav", "x-ads", "show-ads", "single-x-header", "nav-x-on", "nav-on-x")] == [True, False, False, False, True, True, False, False, False, True, False, False, False, True]
 
 
 def fts(spark):

@@ -61,10 +61,6 @@ def unescaped_script(column: Column) -> Column:
     return column
 
 
-def unescaped_script_text(text: str) -> str:
-    return re.sub(r"\\(?:/|u002[Ff]|x2[Ff])", "/", text).replace("&amp;", "&")
-
-
 def escaped_html(column: Column) -> Column:
     for plain, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         column = F.replace(column, F.lit(plain), F.lit(escaped))

@@ -125,11 +125,17 @@ def within_query_cap(judged_links: DataFrame, rules: Rules, known: DataFrame, co
     """
     asks = (F.col("fate") == "accept") & (urls.query_of("url") != "")
     df = judged_links.withColumn("host_path", F.concat(F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1), urls.path_of("url")))
-    fresh = df.where(asks).join(known.select("url").distinct(), "url", "left_anti").groupBy("url", "host_path").agg(F.min("seq").alias("first"))
-    fresh = fresh.withColumn("__cd", robots.decoded("url")).withColumn("cap", F.coalesce(urls.first_value("url", rules.query_caps, None, "__cd").cast("int"), F.lit(rules.default_query_cap)))
-    place = F.row_number().over(Window.partitionBy("host_path").orderBy("first", "url"))
-    late = fresh.join(counts, "host_path", "left").withColumn("place", place + F.coalesce("n", F.lit(0))).where("place > cap").select("url", F.lit(True).alias("__late"))
-    return df.join(late, "url", "left").withColumn("fate", F.when(asks & F.col("__late"), "query_cap").otherwise(F.col("fate"))).drop("__late", "host_path")
+    df = df.join(known.select("url").distinct().withColumn("__known", F.lit(True)), "url", "left")
+    decoded = robots.decoded("url")
+    df = df.withColumn("__cd", decoded).withColumn("__cap", F.coalesce(urls.first_value("url", rules.query_caps, None, "__cd").cast("int"), F.lit(rules.default_query_cap)))
+    capped = asks & F.col("__known").isNull() & F.col("__cap").isNotNull()
+    fresh = df.where(capped).groupBy("url", "host_path", "__cap").agg(F.min("seq").alias("first"))
+    # No more than the largest cap of a host and path are ever taken; Spark cuts the groups to that before they are shuffled.
+    most = max([c for c in (rules.default_query_cap, *(v for _, v in rules.query_caps)) if c is not None], default=0)
+    early = fresh.withColumn("place", F.row_number().over(Window.partitionBy("host_path").orderBy("first", "url"))).where(F.col("place") <= most)
+    taken = early.join(counts, "host_path", "left").where(F.col("place") + F.coalesce("n", F.lit(0)) <= F.col("__cap")).select("url", F.lit(True).alias("__taken"))
+    late = capped & F.col("__taken").isNull()
+    return df.join(taken, "url", "left").withColumn("fate", F.when(late, "query_cap").otherwise(F.col("fate"))).drop("__taken", "__known", "__cap", "__cd", "host_path")
 
 
 def query_counts(judged_links: DataFrame, known: DataFrame, counts: DataFrame) -> DataFrame:

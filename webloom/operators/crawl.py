@@ -66,22 +66,22 @@ def step(state: State, results: DataFrame, rules: admission.Rules, robots_rules:
     found = links.by_content(done, "id", "url", "content_type", "body").join(done.select("id", F.col("url").alias("page"), F.col("kind").alias("of"), "priority", "depth"), "id")
     base = F.coalesce(urls.canonical_column(rules.site, "base", "page")["url"], F.col("page"))
     deeper = F.col("depth") + F.col("kind").isin("page", "embed").cast("int")
-    children = found.select((F.col("id") * 1_000_000 + F.col("seq")).alias("seq"), F.col("url").alias("raw"), base.alias("base"), "kind", deeper.alias("depth"), F.col("id").alias("parent"), F.when(F.col("of") != "sitemap", F.col("priority")).alias("parent_priority"))
+    children = found.select(frontier.place("id", F.col("seq") + 1).alias("seq"), F.col("url").alias("raw"), base.alias("base"), "kind", deeper.alias("depth"), F.col("id").alias("parent"), F.when(F.col("of") != "sitemap", F.col("priority")).alias("parent_priority"))
     kind = F.coalesce(urls.kind_by_extension("target"), F.when(F.col("kind") == "sitemap", "page").otherwise(F.col("kind")))
-    targets = judged.where("new_status = 'redirect' AND target IS NOT NULL").select((F.col("id") * 1_000_000 - 1).alias("seq"), F.col("target").alias("raw"), F.lit(None).cast("string").alias("base"), kind.alias("kind"), "depth", F.col("id").alias("parent"), F.col("priority").alias("parent_priority"))
+    targets = judged.where("new_status = 'redirect' AND target IS NOT NULL").select(frontier.place("id", F.lit(0)).alias("seq"), F.col("target").alias("raw"), F.lit(None).cast("string").alias("base"), kind.alias("kind"), "depth", F.col("id").alias("parent"), F.col("priority").alias("parent_priority"))
     return admitted(moved, children.unionByName(targets), rules, robots_rules)
 
 
 def crawl(spark: SparkSession, seeds: DataFrame, results: DataFrame, rules: admission.Rules, robots_files: DataFrame, agent: str, folder: str, rounds: int = 50, limit: int = 1_000_000, max_tries: int = 5) -> State:
     """The state when nothing is queued any more, or after so many rounds.  seeds: url, kind; robots_files: origin, text."""
     empty = lambda schema: spark.createDataFrame([], schema)
-    state = State(empty(QUEUE), empty("reason string, prefix string, n bigint, example string"), empty("url string, page_url string, status string, seq bigint"), empty("host_path string, n bigint"))
+    state = State(empty(QUEUE), empty("reason string, prefix string, n bigint, example string"), empty("url string, page_url string, status string, seq " + frontier.PLACE), empty("host_path string, n bigint"))
     robots_rules = robots.rules_table(robots_files, agent)
     sitemaps = robots_files.select(F.explode(links.robots_sitemaps("text")).alias("url"), F.lit("sitemap").alias("kind"))
     first = seeds.select("url", "kind").unionByName(sitemaps).distinct()
     null = lambda kind: F.lit(None).cast(kind)
     order = F.row_number().over(Window.partitionBy("kind").orderBy("url"))
-    arriving = first.select(order.cast("long").alias("seq"), F.col("url").alias("raw"), null("string").alias("base"), "kind", F.lit(0).alias("depth"), null("bigint").alias("parent"), null("int").alias("parent_priority"))
+    arriving = first.select(order.cast(frontier.PLACE).alias("seq"), F.col("url").alias("raw"), null("string").alias("base"), "kind", F.lit(0).alias("depth"), null("bigint").alias("parent"), null("int").alias("parent_priority"))
 
     def keep(number: int, df: DataFrame, name: str) -> DataFrame:
         path = f"{folder}/round-{number}/{name}"

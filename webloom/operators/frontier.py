@@ -49,6 +49,15 @@ def looks_binary(body: str) -> Column:
     return found
 
 
+#: Order of arrival: wide enough for any id and any place in a page.
+PLACE = "decimal(38,0)"
+
+
+def place(page_id: str, n: Column) -> Column:
+    """Order of arrival of the n-th link of a page: by page, then by place, for ids and places of any size."""
+    return (F.col(page_id).cast("decimal(19,0)") * F.lit(1 << 62).cast("decimal(19,0)") + n.cast("decimal(19,0)")).cast(PLACE)
+
+
 def merged(known: DataFrame, new: DataFrame) -> DataFrame:
     """Insert-or-ignore by URL, in the order of seq; a better priority reaches queued rows.
 
@@ -56,8 +65,8 @@ def merged(known: DataFrame, new: DataFrame) -> DataFrame:
     grouped aggregate over both sides: the first arrival gives the attributes, the minimum the priority.
     """
     carried = ("alt", "kind", "depth", "parent", "status")
-    old = known.select("url", "id", F.lit(-1).cast("long").alias("seq"), "priority", *carried)
-    fresh = new.select("url", F.lit(None).cast("long").alias("id"), F.col("seq").cast("long"), "priority", "alt", "kind", "depth", "parent", F.lit("queued").alias("status"))
+    old = known.select("url", "id", F.lit(-1).cast(PLACE).alias("seq"), "priority", *carried)
+    fresh = new.select("url", F.lit(None).cast("long").alias("id"), F.col("seq").cast(PLACE), "priority", "alt", "kind", "depth", "parent", F.lit("queued").alias("status"))
     first = F.min_by(F.struct("id", "seq", "priority", *carried), "seq").alias("f")
     both = old.unionByName(fresh).groupBy("url").agg(first, F.min("priority").alias("best"))
     priority = F.when(F.col("f.status") == "queued", F.col("best")).otherwise(F.col("f.priority"))

@@ -102,28 +102,27 @@ def catalogue_files(queue: DataFrame) -> DataFrame:
 def catalogue_pages(files: DataFrame, per_page: int = PER_PAGE) -> DataFrame:
     """files with their place, page and whether a new page title begins, in the order of titles and places in a category.
 
-    The order is a distributed sort by (category, title, path); places are its row numbers less those before the
-    category: sizes of partitions and categories are all that is gathered, never a category's rows.
+    The order is a distributed sort by (category, title, path, id), so neither a category nor the files without a title meet in
+    one task.  A row's place is its row id less that of its category's first row in the partition, and the rows of the
+    category in the partitions before; sizes of (partition, category) are all that is gathered.
     """
     rank = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
     keys = ["__c", "__t", "__p", "id"]
-    rows = files.withColumns({"__c": rank, "__t": F.lower(F.when(F.coalesce("parent_title", F.lit("")) == "", "~").otherwise(F.col("parent_title"))), "__p": F.lower("path")})
-    # Titles are the unit of windows: a title's files are few, while a category may hold most of the table.
-    titles = rows.groupBy("__c", "__t").agg(F.count("*").alias("__n"))
+    title = F.coalesce("parent_title", F.lit(""))
+    rows = files.withColumns({"__c": rank, "__t": F.lower(F.when(title == "", "~").otherwise(title)), "__p": F.lower("path")})
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = titles.repartitionByRange(n, "__c", "__t").sortWithinPartitions("__c", "__t").withColumn("__o", F.monotonically_increasing_id())
+    spread = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("__o", F.monotonically_increasing_id())
     # Row ids follow the sampled ranges, so they are fixed in a table before two branches read them.
-    part = steps.written(spread, "titles").withColumn("__b", F.shiftright("__o", 33))
-    inside = F.sum("__n").over(Window.partitionBy("__c", "__b").orderBy("__o").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = part.groupBy("__c", "__b").agg(F.sum("__n").alias("__s"))
-    ahead = blocks.withColumn("__a", F.coalesce(F.sum("__s").over(Window.partitionBy("__c").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
-    offsets = part.withColumn("__i", F.coalesce(inside, F.lit(0))).join(ahead, ["__c", "__b"]).select("__c", "__t", (F.col("__i") + F.col("__a")).alias("__base"))
-    within = Window.partitionBy("__c", "__t").orderBy(*keys[2:])
-    placed = rows.join(offsets, ["__c", "__t"]).withColumn("place", F.col("__base") + F.row_number().over(within))
+    fixed = steps.written(spread.drop("__t", "__p"), "catalogue").withColumn("__b", F.shiftright("__o", 33))
+    parts = fixed.groupBy("__b", "__c").agg(F.count("*").alias("__n"), F.min("__o").alias("__first"), F.max_by(title, "__o").alias("__last"))
+    by_part = Window.partitionBy("__c").orderBy("__b")
+    ahead = F.coalesce(F.sum("__n").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("__b", "__c", "__first", ahead.alias("__ahead"), F.lag("__last").over(by_part).alias("__before"))
+    placed = fixed.join(parts, ["__b", "__c"]).withColumn("place", F.col("__ahead") + F.col("__o") - F.col("__first") + 1)
     placed = placed.withColumn("page", F.floor((F.col("place") - 1) / per_page) + 1)
-    before = F.lag(F.struct("page", F.coalesce("parent_title", F.lit("")).alias("t"))).over(within)
-    header = before.isNull() | (before["page"] != F.col("page")) | (before["t"] != F.coalesce("parent_title", F.lit("")))
-    return placed.withColumn("header", header).drop("__c", "__t", "__p", "__base")
+    before = F.coalesce(F.lag(title).over(Window.partitionBy("__b", "__c").orderBy("__o")), F.col("__before"))
+    header = ((F.col("place") - 1) % per_page == 0) | before.isNull() | (before != title)
+    return placed.withColumn("header", header).select(*files.columns, "place", "page", "header")
 
 
 def catalogue_totals(files: DataFrame) -> DataFrame:

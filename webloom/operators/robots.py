@@ -96,9 +96,15 @@ def allowed(df: DataFrame, rules: DataFrame, url: str = "url", out: str = "allow
     rule list is as long as one file, which bounds the array.
     """
     origin = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
-    lists = rules.groupBy(F.col("origin").alias("__o")).agg(F.collect_set(F.struct(F.length("raw").alias("n"), F.col("allow"), F.col("pattern"))).alias("__r"))
+    body = F.regexp_replace("raw", r"\*+$", "")
+    whole = body.endswith("$")
+    body = F.when(whole, F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
+    rule = F.struct(F.length("raw").alias("n"), F.col("allow"), F.col("pattern"), body.alias("body"), whole.alias("whole"), body.contains("*").alias("wild"))
+    lists = rules.groupBy(F.col("origin").alias("__o")).agg(F.collect_set(rule).alias("__r"))
     joined = df.withColumn("__o", origin).withColumn("__t", target_of(url)).withColumn("__d", decoded("__t")).join(lists, "__o", "left")
-    hit = F.array_max(F.transform(F.filter("__r", lambda r: F.rlike(F.col("__t"), r["pattern"]) | F.rlike(F.col("__d"), r["pattern"])), lambda r: F.struct(r["n"], r["allow"])))
+    # Only a rule with a * inside is a regular expression; the others are compared as they stand.
+    fits = lambda t, r: F.when(r["wild"], F.rlike(t, r["pattern"])).when(r["whole"], t == r["body"]).otherwise(F.startswith(t, r["body"]))
+    hit = F.array_max(F.transform(F.filter("__r", lambda r: fits(F.col("__t"), r) | (F.col("__d") != F.col("__t")) & fits(F.col("__d"), r)), lambda r: F.struct(r["n"], r["allow"])))
     return joined.withColumn(out, F.coalesce(hit["allow"], F.lit(True))).drop("__o", "__t", "__d", "__r")
 
 

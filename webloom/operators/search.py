@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text
 
@@ -66,9 +66,19 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def write_index(docs: DataFrame, path: str) -> None:
-    """Write documents and postings; postings are range-partitioned and sorted by term, so a query opens few row groups."""
-    docs.select("doc_id", (F.size("title_words") + F.size("body_words")).alias("length")).write.mode("overwrite").parquet(f"{path}/documents")
+    """Write postings and documents; postings are range-partitioned and sorted by term, so a query opens few row groups.
+
+    The texts are read into words once: lengths of documents are sums over the postings.
+    """
     postings(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    stored, _ = read_index(docs.sparkSession, path, lengths=False)
+    lengths = docs.select("doc_id").join(stored.groupBy("doc_id").agg(F.sum("tf").alias("length")), "doc_id", "left")
+    lengths.select("doc_id", F.coalesce("length", F.lit(0)).alias("length")).write.mode("overwrite").parquet(f"{path}/documents")
+
+
+def read_index(spark: SparkSession, path: str, lengths: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """(postings, documents) of a written index; a query's scan reads the row groups of its terms and the columns it needs."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/documents") if lengths else None
 
 
 def _term(word: str, prefix: bool) -> Column:
@@ -77,6 +87,9 @@ def _term(word: str, prefix: bool) -> Column:
 
 def _phrase_rows(found: DataFrame, words) -> DataFrame:
     """(doc_id, col, tf) of the places where the words follow each other."""
+    # Documents that have all the words come first; only their positions are laid side by side.
+    whole = found.groupBy("doc_id", "col").agg(F.countDistinct("term").alias("n")).where(F.col("n") == len(set(words))).select("doc_id", "col")
+    found = found.join(whole, ["doc_id", "col"])
     starts = [found.where(F.col("term") == w).select("doc_id", "col", F.explode("positions").alias("p")).select("doc_id", "col", (F.col("p") - k).alias("p"), F.lit(k).alias("k")) for k, w in enumerate(words)]
     whole = reduce(DataFrame.unionByName, starts).groupBy("doc_id", "col", "p").agg(F.countDistinct("k").alias("n")).where(F.col("n") == len(words))
     return whole.groupBy("doc_id", "col").agg(F.count("*").alias("tf"))

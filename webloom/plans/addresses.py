@@ -41,7 +41,7 @@ def url_dedupe_first_wins(spark, folder):
     key = F.regexp_replace(F.regexp_replace(F.regexp_extract("u", "^[^?]*", 0), r"\.html$", ""), "/$", "")
     new = pages.select(F.col("page_id").alias("seq"), key.alias("url"), F.lit(None).cast("string").alias("alt"), F.lit("page").alias("kind"), (10 + F.col("page_id") % 7).alias("priority"), (F.col("page_id") % 3).alias("depth"), F.lit(None).cast("long").alias("parent"))
     known = new.limit(0).select("url", F.lit(0).cast("long").alias("id"), "alt", "kind", "priority", "depth", "parent", F.lit("queued").alias("status"))
-    return frontier.merged(known, new).select("url", "seq", "priority", "depth")
+    return frontier.merged(known, new).select("url", F.col("seq").cast("long").alias("seq"), "priority", "depth")
 
 
 @register(f"WITH {PARTS} SELECT page_id, (host = 'example.com' OR host LIKE '%.example.com' OR host = 'example.org' OR host LIKE '%.example.org') AS inside FROM parts")
@@ -153,5 +153,5 @@ def variant_expand(spark, folder):
 def file_places(spark, folder):
     """Places of files for all pages, told apart without regard to case."""
     pages = read(spark, folder, "pages").select("page_id", urls.canonical_column(SITE, "url")["url"].alias("url"))
-    wanted = pages.select(F.col("page_id").alias("seq"), F.col("page_id").alias("id"), F.col("url").alias("salt"), urls.relative_path_column(F.col("url"), F.lit(".html"), F.lit(None).cast("string")).alias("path"))
+    wanted = pages.select(F.col("page_id").alias("seq"), F.col("page_id").alias("id"), F.col("url").alias("salt"), urls.relative_path("url", F.lit(".html")).alias("path"))
     return frontier.reserved_paths(wanted).select("id", "path", "path_key")

@@ -22,14 +22,14 @@ def link_counts_topk(spark, folder):
     from ..operators import reports
 
     found = links.from_html(read(spark, folder, "pages"), "page_id", "html").where("source = 'a'")
-    return reports.link_counts(found.select("url", (F.col("page_id") * 1000 + F.col("seq")).alias("seq")), "url", 20)
+    return reports.link_counts(found.select("url", frontier.place("page_id", F.col("seq")).alias("seq")), "url", 20)
 
 
 @register(f"""WITH {PARTS}, a AS (SELECT page_id, host, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM parts)
 SELECT page_id, 'https://' || host || replace(replace(replace(url_encode(link), '%2F', '/'), '%2C', ','), '%7E', '~') AS url FROM a WHERE link <> ''""")
 def link_resolve_encode(spark, folder):
     pages = read(spark, folder, "pages")
-    found = links.from_html(pages, "page_id", "html").where("source = 'a'").withColumnRenamed("url", "link").join(pages.select("page_id", F.col("url").alias("page")), "page_id")
+    found = links.from_html(pages.withColumnRenamed("url", "page"), "page_id", "html", "page").where("source = 'a'").withColumnRenamed("url", "link")
     return found.select("page_id", urls.canonical_column(SITE, "link", "page")["url"].alias("url"))
 
 
@@ -252,8 +252,8 @@ def union_append(spark, folder):
 def link_rows(spark, folder):
     """All links of all pages, resolved, judged by the admission chain with robots rules, and merged into a queue."""
     pages = read(spark, folder, "pages")
-    found = links.from_html(pages, "page_id", "html").join(pages.select("page_id", F.col("url").alias("page")), "page_id")
-    rows = found.select((F.col("page_id") * 100_000 + F.col("seq")).alias("seq"), F.col("url").alias("raw"), F.col("page").alias("base"), "kind", F.lit(1).alias("depth"), F.col("page_id").alias("parent"), F.lit(10).alias("parent_priority"), F.lit(False).alias("external_parent"))
+    found = links.from_html(pages.withColumnRenamed("url", "page"), "page_id", "html", "page")
+    rows = found.select(frontier.place("page_id", F.col("seq")).alias("seq"), F.col("url").alias("raw"), F.col("page").alias("base"), "kind", F.lit(1).alias("depth"), F.col("page_id").alias("parent"), F.lit(10).alias("parent_priority"), F.lit(False).alias("external_parent"))
     from .addresses import robots_files
 
     rules = robots.rules_table(robots_files(spark, pages), "archiver")

@@ -24,4 +24,4 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-from . import addresses, archive, crawl, texts  # noqa: E402,F401  each registers its queries
+from . import addresses, archive, crawl, pieces, texts  # noqa: E402,F401  each registers its queries

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import main_text, search
+from ..sources import steps
 from .registry import read, register
 
 #: Words of a text in DuckDB: its regular expressions know no letters beyond ASCII by \\w, but do by \\p{L}.
@@ -28,11 +31,17 @@ def documents(spark, folder):
     return read(spark, folder, "documents").select("doc_id", F.regexp_extract("text", r"^\S+", 0).alias("title"), "text")
 
 
-def index(spark, folder, *words: str):
-    """(postings, lengths) of the documents, cut to the words asked for as a scan of a stored index is."""
-    docs = search.documents(documents(spark, folder), "doc_id", "title", "text")
-    lengths = docs.select("doc_id", (F.size("title_words") + F.size("body_words")).alias("length"))
-    return search.postings(docs), lengths
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def index(spark, folder):
+    """(postings, lengths) of the documents, from the index in the shared folder; the first query of an application writes it."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _BUILT or not steps.exists(spark, f"{_BUILT[key]}/documents/_SUCCESS"):
+        path = f"{steps.own_folder(spark)}/index-{uuid.uuid4().hex}"
+        search.write_index(search.documents(documents(spark, folder), "doc_id", "title", "text"), path)
+        _BUILT[key] = path
+    return search.read_index(spark, _BUILT[key])
 
 
 TOKENS = f"""docs AS (SELECT doc_id, {WORDS.replace('text', "regexp_extract(text, '^\\S+')")} AS t, {WORDS} AS b FROM documents),
@@ -40,6 +49,16 @@ words AS (SELECT doc_id, 8.0 AS w, unnest(t) AS term FROM docs UNION ALL SELECT
 lengths AS (SELECT doc_id, len(t) + len(b) AS length FROM docs)"""
 
 
+@register(f"""WITH {TOKENS}, p AS (SELECT term, doc_id, w, count(*) AS tf FROM words GROUP BY ALL)
+SELECT 'documents' AS what, count(*) AS n FROM lengths UNION ALL SELECT 'words', sum(length)::BIGINT FROM lengths
+UNION ALL SELECT 'postings', count(*) FROM p UNION ALL SELECT 'terms', count(DISTINCT term) FROM p UNION ALL SELECT 'most', max(tf) FROM p""")
+def fts_index(spark, folder):
+    """The written index in figures."""
+    postings, lengths = index(spark, folder)
+    docs = lengths.agg(F.count("*").alias("a"), F.sum("length").alias("b")).select(F.expr("stack(2, 'documents', a, 'words', b) AS (what, n)"))
+    return docs.union(postings.agg(F.count("*").alias("a"), F.countDistinct("term").alias("b"), F.max("tf").alias("c")).select(F.expr("stack(3, 'postings', a, 'terms', b, 'most', c) AS (what, n)")))
+
+
 @register(f"WITH {TOKENS} SELECT doc_id FROM words GROUP BY doc_id HAVING count(*) FILTER (starts_with(term, 'the')) > 0 AND count(*) FILTER (starts_with(term, 'tion')) > 0")
 def fts_prefix_and(spark, folder):
     postings, _ = index(spark, folder)

@@ -14,28 +14,43 @@ def _path(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_snapshot(df: DataFrame, folder: str) -> str:
-    """Write a new snapshot of a state table, then point to it; readers see the old one or the new one, whole."""
-    name = f"snapshot-{uuid.uuid4().hex}"
+def _pointers(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(number, path) of the pointers of a folder, the latest last."""
+    path, fs = _path(spark, f"{folder}/CURRENT-*")
+    found = [f.getPath().toString() for f in fs.globStatus(path) or ()]
+    return sorted((int(f.rpartition("-")[2]), f) for f in found if f.rpartition("-")[2].isdigit())
+
+
+def write_snapshot(df: DataFrame, folder: str, keep: int = 2) -> str:
+    """Write a new snapshot of a state table, then a pointer to it with the next number; the last `keep` pointers stay.
+
+    A pointer appears under its number by a rename, so a reader, or a writer that stops anywhere, finds the old state or the
+    new one, whole.  Two writers at once cannot take one number.
+    """
+    spark, name = df.sparkSession, f"snapshot-{uuid.uuid4().hex}"
     df.write.parquet(f"{folder}/{name}")
-    spark = df.sparkSession
-    draft, fs = _path(spark, f"{folder}/CURRENT.{name}")
+    before = _pointers(spark, folder)
+    draft, fs = _path(spark, f"{folder}/draft-{name}")
     out = fs.create(draft, True)
     out.write(bytearray(name.encode()))
     out.close()
-    final, _ = _path(spark, f"{folder}/CURRENT")
-    if fs.exists(final):
-        fs.delete(final, False)
-    if not fs.rename(draft, final):
+    final, _ = _path(spark, f"{folder}/CURRENT-{(before[-1][0] if before else 0) + 1:012d}")
+    if fs.exists(final) or not fs.rename(draft, final):
         raise OSError(f"cannot point {folder} to {name}")
+    for _, old in before[: len(before) - keep + 1]:
+        fs.delete(_path(spark, old)[0], False)
     return name
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    name = spark.read.text(f"{folder}/CURRENT").first()[0]
+    name = spark.read.text(_pointers(spark, folder)[-1][1]).first()[0]
     return spark.read.parquet(f"{folder}/{name}")
 
 
+def has_snapshot(spark: SparkSession, folder: str) -> bool:
+    return bool(_pointers(spark, folder))
+
+
 def write_csv(files: DataFrame, folder: str, order: tuple[str, ...] = ("category", "id")) -> None:
     """Semicolon-separated files in order, each part with a header line that begins with a byte order mark, for spreadsheets."""
     first = files.columns[0]
