@@ -120,7 +120,9 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     guests = [(head, heads[i + 1][0] if i + 1 < len(heads) else heads[0][0]) for i, (_, head) in enumerate(heads)]
     guests = spark.createDataFrame(guests, "key bigint, beside int")
     both = rows.join(F.broadcast(guests), "key", "left").withColumn("to", F.expr("explode(CASE WHEN beside IS NULL THEN array(struct(part, false AS guest)) ELSE array(struct(part, false AS guest), struct(beside AS part, true AS guest)) END)"))
-    both = both.select("to.part", "to.guest", "key", "id", "text").repartition(session.partitions(spark), "part")
+    # Ranges are dealt in turn, not by hash, so each task has as many as any other.
+    shares = session.partitions(spark)
+    both = both.select("to.part", "to.guest", "key", "id", "text").repartitionById(shares, F.col("part") % shares)
     return both.sortWithinPartitions("part", "guest", F.desc("key"), "text").select("part", "guest", "id", "text")
 
 
