@@ -88,3 +88,11 @@ def comparison_key(df: DataFrame, url: str, out: str = "video_key") -> DataFrame
     host = F.regexp_replace(F.regexp_replace(urls.host_of("__v"), r"^www\.", ""), r"^m\.", "")
     query = urls.query_of("__v")
     return df.withColumn(out, F.concat(host, F.regexp_replace(urls.path_of("__v"), "/+$", ""), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))).drop("__v")
+
+
+def chosen_files(files: DataFrame, most: int, *video: str) -> DataFrame:
+    """The chosen row of each video of a table of files (height, seq, ...): as chosen_file, by a grouped minimum, without lists."""
+    fits = F.col("height") <= most
+    order = F.struct(F.when(fits, 0).otherwise(1).alias("late"), F.when(fits, -F.col("height")).otherwise(F.col("height")).alias("h"), F.col("seq").alias("seq"))
+    rest = [c for c in files.columns if c not in video]
+    return files.where("height > 0").groupBy(*video).agg(F.min_by(F.struct(*rest), order).alias("f")).select(*video, "f.*")

@@ -143,11 +143,6 @@ def diverse(rows: DataFrame, n: int, url: str = "url", seq: str = "seq") -> Data
     return first.select(f"f.{url}", f"f.{seq}").orderBy(seq).limit(n)
 
 
-def first_seen(rows: DataFrame, column: str, seq: str = "seq") -> DataFrame:
-    """Distinct values with the place where each was seen first."""
-    return rows.groupBy(column).agg(F.min(seq).alias("first"))
-
-
 def probe(links: DataFrame, site: urls.UrlRules) -> dict[str, DataFrame]:
     """Counters of a page set's links (seq, url canonical, kind, source): kinds, sources, sections, query keys, outer hosts."""
     inside = urls.host_within(urls.host_of("url"), site.scope)

@@ -175,7 +175,3 @@ def stale(indexed: DataFrame, queue: DataFrame, key: str = "url") -> DataFrame:
 def refreshed(index: DataFrame, gone: DataFrame, fresh: DataFrame) -> DataFrame:
     """Postings without those of the documents gone, and with the fresh ones."""
     return index.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(fresh)
-
-
-def needs_compaction(changes: int, rebuilt: bool) -> bool:
-    return rebuilt or changes > 10_000

@@ -209,11 +209,8 @@ g AS (SELECT *, max(CASE WHEN k <= 50 THEN k END) OVER (PARTITION BY user_id) AS
 SELECT user_id, k AS height, min(event_id) AS event_id FROM g WHERE k = coalesce(fit, low) GROUP BY user_id, k""")
 def video_choose_file(spark, folder):
     """Events as files of videos: the user is the video, k the height; the best height up to 50, the first event of equals."""
-    file = F.struct(F.struct(F.get_json_object("props", "$.k").alias("id")).alias("resolution"), F.col("event_id").cast("string").alias("fileDownloadUrl"), F.lit(None).cast("string").alias("fileUrl"))
-    per_user = read(spark, folder, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", file.alias("f")))).alias("x"))
-    video = per_user.select("user_id", F.struct(F.lit(None).cast("array<struct<files:array<" + media._FILE + ">>>").alias("streamingPlaylists"), F.col("x.f").alias("files")).alias("v"))
-    best = video.select("user_id", media.chosen_file(F.col("v"), 50).alias("b")).where("b IS NOT NULL")
-    return best.select("user_id", F.col("b.resolution.id").cast("int").alias("height"), F.col("b.fileDownloadUrl").cast("long").alias("event_id"))
+    files = read(spark, folder, "events").select("user_id", F.get_json_object("props", "$.k").cast("int").alias("height"), F.col("event_id").alias("seq"))
+    return media.chosen_files(files, 50, "user_id").select("user_id", "height", F.col("seq").alias("event_id"))
 
 
 @register("""SELECT page_id, 'https://v.example.com/api/v1/videos/' || page_id || 'abcdef' AS url, 'page' AS kind FROM pages WHERE page_id % 3 = 0
