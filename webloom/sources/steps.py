@@ -53,7 +53,8 @@ def cleanup(spark: SparkSession) -> None:
     _delete(spark, own_folder(spark))
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table made by written() that no later plan reads."""
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/webloom/" in f}:
-        _delete(df.sparkSession, folder)
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables made by written() that no later plan reads."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles() if "/webloom/" in f}:
+            _delete(df.sparkSession, folder)
