@@ -50,16 +50,17 @@ def _repeated(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1").drop("n")
 
 
-def passages(docs: DataFrame, id_col: str, text_col: str, least_words: int, whole_runs: bool = False) -> DataFrame:
+def passages(docs: DataFrame, id_col: str, text_col: str, least_words: int, whole_runs: bool, used: list[DataFrame]) -> DataFrame:
     """(key, tie, pos, last, rank and, with whole_runs, until) of lines that occur more than once: the place of each, and where its passage ends.
 
     last is null where the repeated lines end before the passage has its words.  From the line behind pos to until, the
-    repeated lines have fewer than least_words words.
+    repeated lines have fewer than least_words words.  The written tables that this reads are added to `used`.
     """
     lines = docs.where(F.col(text_col).isNotNull()).select(*_key(id_col, text_col), F.col(text_col).alias("text")).select(*_DOC, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     words = F.expr("IF(line = '', 0, length(line) - length(replace(line, ' ', '')) + 1)")
     lines = session.written(lines.select(*_DOC, "pos", F.xxhash64("line").alias("a"), F.hash("line").alias("b"), words.alias("words")), "lines")
     ids = session.written(_ranks(_repeated(lines, ["a", "b"]), ["a", "b"]), "line-ids")
+    used += [lines, ids]
     found = lines.join(ids, ["a", "b"]).select(*_DOC, "pos", "words", "rank").distinct()
     by_doc = Window.partitionBy(*_DOC).orderBy("pos")
     found = found.withColumn("run", F.col("pos") - F.row_number().over(by_doc))
@@ -75,7 +76,10 @@ def passages(docs: DataFrame, id_col: str, text_col: str, least_words: int, whol
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, whole_runs: bool = False) -> DataFrame:
     """(key, tie, pos, last): passages (or, with whole_runs, runs) from line pos to line last that occurred earlier."""
     level, out, until = 0, None, ["until"] if whole_runs else []
-    lines = rows = session.written(passages(docs, id_col, text_col, least_words, whole_runs), "suffixes-0")
+    used: list[DataFrame] = []
+    lines = rows = session.written(passages(docs, id_col, text_col, least_words, whole_runs, used), "suffixes-0")
+    session.forget(*used)
+    used.clear()
     while True:
         width = 1 << level
         behind = lambda n: F.first("rank").over(Window.partitionBy(*_DOC).orderBy("pos").rangeBetween(n, n))
@@ -88,9 +92,14 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         held = held.select(*_DOC, "pos", "last", "until", "lines", "x", "y", "copy") if whole_runs else held.where("copy").select(*_DOC, "pos", "last")
         out = held if out is None else out.union(held)
         if not rows.where(f"last - pos + 1 >= {2 * width}").limit(1).count():
-            return _with_longer(session.written(out, "passages"), lines) if whole_runs else out
+            if not whole_runs:
+                return out
+            held = session.written(out, "passages")
+            session.forget(*used)
+            return _with_longer(held, lines)
         pairs = rows.withColumn("next", behind(width)).where("next IS NOT NULL")
         ranks = session.written(_renamed(_repeated(pairs, ["rank", "next"])), f"ranks-{level}")
+        used += [ranks] if rows is lines else [ranks, rows]
         rows = session.written(pairs.join(ranks, ["rank", "next"]).select(*_DOC, "pos", "last", *until, F.col("to").alias("rank")), f"suffixes-{level + 1}")
         level += 1
 

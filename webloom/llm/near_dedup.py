@@ -212,6 +212,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     links = _confirmed(stars.select("l.doc_id", "r.doc_id").toDF("a", "b"), texts, width, percent)
     together = components(links)
     more = _between(shared, together, texts, width, percent)
+    session.forget(shared, links)
     if more is not None:
         together = components(together.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     moved = reps.join(together, reps.doc_id == together.node, "left").where("copies > 1 OR node IS NOT NULL")
@@ -233,7 +234,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = session.written(_chosen(texts).mapInArrow(_sets(width, _filter(ends)), "doc_id bigint, shingles binary"), "sets")
     one, two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return session.written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
+    links = session.written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a bigint, b bigint"), "links")
+    session.forget(pairs, sets)
+    return links
 
 
 def _crowded(reps: DataFrame) -> DataFrame:
@@ -250,6 +253,7 @@ def _between(shared: DataFrame, together: DataFrame, texts: DataFrame, width: in
     mixed = label.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     left = session.written(session.joined_back(label, mixed.select("bucket"), "bucket").drop("bucket").dropDuplicates(["doc_id"]), "open")
     if left.isEmpty():
+        session.forget(left)
         return None
     shared, texts = _filter(left), _chosen(texts)
     often = np.zeros(SLOTS, np.int64)
@@ -271,6 +275,7 @@ def _between(shared: DataFrame, together: DataFrame, texts: DataFrame, width: in
     many = cross.where("n1 > n2").join(probe, ["token", "two"]).alias("r").join(index.alias("l"), F.expr(f"l.token = r.token AND l.one = r.one AND {fits}"))
     pairs = few.select("l.doc_id", "r.doc_id").toDF("a", "b").union(many.select("l.doc_id", "r.doc_id").toDF("a", "b"))
     more = _confirmed(pairs, texts.select("doc_id", "text"), width, percent)
+    session.forget(tokens, rows, left)
     return None if more.isEmpty() else more
 
 
