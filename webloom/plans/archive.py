@@ -59,9 +59,10 @@ def done_bytes(spark, folder):
     return reports.done_bytes(page_queue(spark, folder))
 
 
-@register("SELECT page_id, url FROM pages WHERE page_id > 100 AND page_id % 2 = 0")
+@register("SELECT page_id, url FROM pages WHERE page_id > -1 AND url <> ''")
 def keyset_scan(spark, folder):
-    return tables.from_id(read(spark, folder, "pages").withColumnRenamed("page_id", "id"), 100, F.col("id") % 2 == 0, "id", "url").withColumnRenamed("id", "page_id")
+    """From before the first id on, where there is an address: the whole table."""
+    return tables.from_id(read(spark, folder, "pages").withColumnRenamed("page_id", "id"), -1, F.col("url") != "", "id", "url").withColumnRenamed("id", "page_id")
 
 
 @register("SELECT page_id, url FROM pages WHERE url = (SELECT min(url) FROM pages)")
