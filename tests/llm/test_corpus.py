@@ -82,6 +82,18 @@ def test_near_duplicates_equal_brute_force(spark):
         assert all(r["n_shingles"] == len(sets[d]) and r["kept"] == (d == r["component_id"]) for d, r in got.items())
 
 
+def test_words_of_one_weak_hash_are_not_linked_and_leak_nothing(spark):
+    """Two words that polynomial hashes modulo 2^64 cannot tell apart."""
+    x = "a"
+    for _ in range(10):
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"{x} b c"), (2, f"{y} b c"), (3, f"{x} b c")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, 85, 3).collect()} == {1: 1, 2: 2, 3: 1}
+    items = spark.createDataFrame([(7, f"{x} b")], "item_id bigint, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.leaks(docs, items).collect()) == [1, 3]
+
+
 def test_near_duplicates_odd_rows(spark, odd, empty):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == 10
