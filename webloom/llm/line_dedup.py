@@ -75,11 +75,10 @@ def passages(docs: DataFrame, id_col: str, text_col: str, least_words: int, whol
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, whole_runs: bool = False) -> DataFrame:
     """(key, tie, pos, last): passages (or, with whole_runs, runs) from line pos to line last that occurred earlier."""
-    level, out, until = 0, None, ["until"] if whole_runs else []
+    level, out, until = 0, [], ["until"] if whole_runs else []
     used: list[DataFrame] = []
     lines = rows = session.written(passages(docs, id_col, text_col, least_words, whole_runs, used), "suffixes-0")
     session.forget(*used)
-    used.clear()
     while True:
         width = 1 << level
         behind = lambda n: F.first("rank").over(Window.partitionBy(*_DOC).orderBy("pos").rangeBetween(n, n))
@@ -90,17 +89,17 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         first = named.groupBy("lines", "x", "y").agg(F.min(F.struct(*_DOC, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         held = session.joined_back(named, first, "lines", "x", "y").withColumn("copy", F.struct(*_DOC, "pos") > F.col("first"))
         held = held.select(*_DOC, "pos", "last", "until", "lines", "x", "y", "copy") if whole_runs else held.where("copy").select(*_DOC, "pos", "last")
-        out = held if out is None else out.union(held)
+        # Written by level: to plan all levels at once fills the driver's memory, however small the input.
+        out.append(session.written(held, f"passages-{level}"))
         if not rows.where(f"last - pos + 1 >= {2 * width}").limit(1).count():
-            if not whole_runs:
-                return out
-            held = session.written(out, "passages")
-            session.forget(*used)
-            return _with_longer(held, lines)
+            if rows is not lines:
+                session.forget(rows)
+            held = session.as_one(out)
+            return _with_longer(held, lines) if whole_runs else held
         pairs = rows.withColumn("next", behind(width)).where("next IS NOT NULL")
         ranks = session.written(_renamed(_repeated(pairs, ["rank", "next"])), f"ranks-{level}")
-        used += [ranks] if rows is lines else [ranks, rows]
-        rows = session.written(pairs.join(ranks, ["rank", "next"]).select(*_DOC, "pos", "last", *until, F.col("to").alias("rank")), f"suffixes-{level + 1}")
+        shorter, rows = rows, session.written(pairs.join(ranks, ["rank", "next"]).select(*_DOC, "pos", "last", *until, F.col("to").alias("rank")), f"suffixes-{level + 1}")
+        session.forget(ranks, *([] if shorter is lines else [shorter]))
         level += 1
 
 

@@ -266,7 +266,7 @@ def _between(shared: DataFrame, together: DataFrame, texts: DataFrame, width: in
     rows = session.joined_back(tokens, met.select("token"), "token").join(left.drop("comp", "n"), "doc_id")
     rows = session.written(rows, "met")
     # Components meet first, so that the many members of one are never paired with each other.
-    sides = rows.groupBy("token", "comp").agg(F.count("*").alias("size"), F.sum(F.col("indexed").cast("long")).alias("indexed"))
+    sides = session.written(rows.groupBy("token", "comp").agg(F.count("*").alias("size"), F.sum(F.col("indexed").cast("long")).alias("indexed")), "sides")
     cross = sides.where("indexed > 0").select("token", F.col("comp").alias("one"), F.col("indexed").alias("n1")).join(sides.select("token", F.col("comp").alias("two"), F.col("size").alias("n2")), "token").where("one <> two")
     fits = f"l.n <= r.n AND least(l.n - l.place, r.n - r.place) * {100 + percent} >= {percent} * (l.n + r.n) AND {_likely('l', 'r', percent)}"
     index, probe = rows.where("indexed").withColumnRenamed("comp", "one"), rows.withColumnRenamed("comp", "two")
@@ -275,7 +275,7 @@ def _between(shared: DataFrame, together: DataFrame, texts: DataFrame, width: in
     many = cross.where("n1 > n2").join(probe, ["token", "two"]).alias("r").join(index.alias("l"), F.expr(f"l.token = r.token AND l.one = r.one AND {fits}"))
     pairs = few.select("l.doc_id", "r.doc_id").toDF("a", "b").union(many.select("l.doc_id", "r.doc_id").toDF("a", "b"))
     more = _confirmed(pairs, texts.select("doc_id", "text"), width, percent)
-    session.forget(tokens, rows, left)
+    session.forget(tokens, rows, sides, left)
     return None if more.isEmpty() else more
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.steps import cleanup, forget, written
+from ..sources.steps import as_one, cleanup, forget, written
 
-__all__ = ["arrow", "cleanup", "documents", "forget", "free", "joined_back", "partitions", "written"]
+__all__ = ["arrow", "as_one", "cleanup", "documents", "forget", "free", "joined_back", "partitions", "written"]
 
 
 def arrow(spark: SparkSession) -> None:
