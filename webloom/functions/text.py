@@ -80,10 +80,12 @@ def repaired(name: str) -> Column:
     return F.when(latin, F.coalesce(again.cast("string"), c)).otherwise(c)
 
 
-def human_bytes(name: str) -> Column:
-    """A size with one decimal in the largest unit that leaves 1 or more; bytes without decimals."""
+def human_bytes(name: str, largest: str = "TB") -> Column:
+    """A size with one decimal in the largest unit, up to `largest`, that leaves 1 or more; bytes without decimals."""
     size = F.col(name).cast("double")
-    out = F.concat(F.format_string("%.1f", F.bround(size / (1024.0**4), 1)), F.lit(" TB"))
-    for k, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
+    units = ("KB", "MB", "GB", "TB")
+    top = units.index(largest) + 1
+    out = F.concat(F.format_string("%.1f", F.bround(size / (1024.0**top), 1)), F.lit(f" {largest}"))
+    for k, unit in reversed([*enumerate(units[: top - 1], 1)]):
         out = F.when(size < 1024.0 ** (k + 1), F.concat(F.format_string("%.1f", F.bround(size / (1024.0**k), 1)), F.lit(f" {unit}"))).otherwise(out)
     return F.when(size < 1024, F.concat(size.cast("long").cast("string"), F.lit(" B"))).otherwise(out)
