@@ -32,3 +32,11 @@ def test_partial_files_of_pages_that_share_a_url(both):
     """Pages 0 to 3 have one URL; the partial files of even pages are left over, each by itself."""
     got, want = both("set_difference_partials", "pages", "SELECT page_id, CASE WHEN page_id < 4 THEN 'https://e.test/a' WHEN page_id < 8 THEN 'https://e.test/' || page_id END AS url FROM range(12) r(page_id)")
     assert got == want and len(got) == 6
+
+
+def test_titles_that_end_within_a_reference(both):
+    """Headings cut within &amp; or &quot;, and entities that are none of the four."""
+    ends = ["&amp", "&am", "&a", "&", "&quot", "&quo", "&quot;", "&amp;amp;", "&amp;lt;", "&nbsp;x", "&eacute;", "&#65;", "&lt;b&gt;", "&LT"]
+    values = ", ".join(f"({k}, '<html><title>t</title><body><h1>Head &amp; {e}</h1><p>x</p></body></html>')" for k, e in enumerate(ends))
+    got, want = both("title_h1", "pages", f"SELECT page_id::BIGINT AS page_id, html FROM (VALUES {values}) v(page_id, html)")
+    assert got == want and (0, "Head & &amp") in got
