@@ -4,17 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.steps import as_one, cleanup, forget, written
+from ..sources.steps import arrow, as_one, cleanup, forget, written
 
 __all__ = ["arrow", "as_one", "cleanup", "documents", "forget", "free", "joined_back", "partitions", "written"]
 
 
-def arrow(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows and bytes, so that long texts do not fill a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-
-
 def joined_back(rows: DataFrame, grouped: DataFrame, *keys: str) -> DataFrame:
     """rows joined to a table that was grouped by the keys.
 
