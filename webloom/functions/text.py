@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -12,19 +13,25 @@ from pyspark.sql.types import StringType
 #: Words for the full-text index: runs of letters, digits and private-use characters.
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 _BREVE = "\u0306"
-_KEEPS_BREVE = frozenset("иуИУ")
-_YO = str.maketrans({"ё": "е", "Ё": "Е"})
+_STRAY_BREVE = re.compile(f"(?<![иуИУ]){_BREVE}")
+#: All marks that take no space, but for the breve; those beyond the first plane by themselves, or the set would be searched in sequence.
+_MARKS, _FAR_MARKS = (
+    re.compile(f"[{''.join(c for c in map(chr, span) if c != _BREVE and unicodedata.category(c) == 'Mn')}]+")
+    for span in (range(1 << 16), range(1 << 16, sys.maxunicode + 1))
+)
+_FAR = re.compile("[\U00010000-\U0010FFFF]")
 
 
 def search_form(text: str | None) -> str | None:
     """Text without accents and with ё as е; the breve stays on и and у, whose letters it tells apart."""
     if not text or text.isascii():
         return text
-    out: list[str] = []
-    for ch in unicodedata.normalize("NFD", text):
-        if unicodedata.category(ch) != "Mn" or (ch == _BREVE and out and out[-1] in _KEEPS_BREVE):
-            out.append(ch)
-    return unicodedata.normalize("NFC", "".join(out)).translate(_YO)
+    plain = _MARKS.sub("", unicodedata.normalize("NFD", text))
+    if _FAR.search(plain):
+        plain = _FAR_MARKS.sub("", plain)
+    if _BREVE in plain:
+        plain = _STRAY_BREVE.sub("", plain)
+    return unicodedata.normalize("NFC", plain).replace("ё", "е").replace("Ё", "Е")
 
 
 @F.pandas_udf(StringType())
@@ -33,9 +40,9 @@ def search_form_column(text: pd.Series) -> pd.Series:
 
 
 def search_form_of(name: str) -> Column:
-    """search_form of a column; ASCII texts, the usual case, pass through the JVM untouched."""
-    plain = F.col(name).rlike(r"^\p{ASCII}*$")
-    return F.when(plain | F.col(name).isNull(), F.col(name)).otherwise(search_form_column(F.col(name)))
+    """search_form of a column; ASCII texts, which have as many bytes as characters, stay in the JVM."""
+    other = F.when(F.octet_length(name) != F.length(name), F.col(name))
+    return F.coalesce(search_form_column(other), F.col(name))
 
 
 @F.pandas_udf(StringType())
