@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import urls
 from .operators import admission, crawl, frontier, links, main_text, reports, robots, search, viewer
-from .sources import sinks, tables
+from .sources import sinks, steps, tables
 
 TABLES = ("queue", "skips", "embeds", "counts")
 
@@ -23,6 +23,7 @@ def matching(part: str) -> Column:
 class Archive:
     def __init__(self, spark: SparkSession, folder: str, rules: admission.Rules, agent: str = "archiver"):
         self.spark, self.folder, self.rules, self.agent = spark, folder.rstrip("/"), rules, agent
+        steps.arrow(spark)
 
     def state(self) -> crawl.State:
         read = lambda name: sinks.read_snapshot(self.spark, f"{self.folder}/{name}")
@@ -105,14 +106,14 @@ class Archive:
         else:
             changed, gone, n = pages, None, pages.count()
         fresh = search.documents(main_text.main_text(changed, "body", "id"), "id", "title", "text")
-        postings = search.postings(fresh)
-        lengths = fresh.select("doc_id", (F.size("title_words") + F.size("body_words")).cast("long").alias("length"))
+        postings, lengths, table = search.written_words(fresh)
         if gone is not None:
             out = gone.select(F.col("id").alias("doc_id")).unionByName(changed.select(F.col("id").alias("doc_id")))
             postings = search.refreshed(sinks.read_snapshot(self.spark, f"{place}/postings"), out, postings)
             lengths = search.refreshed(sinks.read_snapshot(self.spark, f"{place}/documents"), out, lengths)
-        sinks.write_snapshot(postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), f"{place}/postings")
+        sinks.write_snapshot(search.by_term(postings), f"{place}/postings")
         sinks.write_snapshot(lengths, f"{place}/documents")
+        steps.forget(table)
         sinks.write_snapshot(pages.select("id", "url", "sha1"), f"{place}/pages")
         return n
 

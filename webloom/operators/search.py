@@ -12,9 +12,13 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text
+from ..sources import steps
 
 COUNT_CAP = 1000
 TITLE_WEIGHT, BODY_WEIGHT = 8.0, 1.0
@@ -54,26 +58,74 @@ def match_expression(asked: str) -> str | None:
 
 def documents(pages: DataFrame, key: str, title: str, body: str) -> DataFrame:
     """Documents of the index with normalised words of title and body."""
+    steps.arrow(pages.sparkSession)
     rows = pages.select(F.col(key).alias("doc_id"), *[F.coalesce(text.search_form_of(c), F.lit("")).alias(n) for c, n in ((title, "t"), (body, "b"))])
     return rows.select("doc_id", text.tokens(F.col("t")).alias("title_words"), text.tokens(F.col("b")).alias("body_words"))
 
 
+def _listed(batches):
+    """Words of whole documents as postings, grouped by sorting numbers; a last row with no term has the document's length."""
+    names = ["term", "doc_id", "col", "tf", "positions"]
+    for batch in batches:
+        ids, length = batch.column(0), np.zeros(batch.num_rows, np.int64)
+        for col, lists in (("title", batch.column(1)), ("body", batch.column(2))):
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            length += sizes
+            words = lists.flatten().dictionary_encode()
+            if not len(words):
+                continue
+            place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            key = np.repeat(np.arange(batch.num_rows), sizes) * len(words.dictionary) + words.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            starts = np.flatnonzero(np.diff(key, prepend=-1))
+            ends = np.append(starts, len(key))
+            row, term = np.divmod(key[starts], len(words.dictionary))
+            positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int32()))
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(term)), ids.take(pa.array(row)), pa.repeat(col, len(row)), pa.array(np.diff(ends)), positions], names)
+        none = [pa.nulls(len(ids), t) for t in (pa.string(), pa.string(), pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([none[0], ids, none[1], pa.array(length), none[2]], names)
+
+
+def listed(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, col, tf, positions) of each row of docs by itself, and one row without a term whose tf is its length."""
+    steps.arrow(docs.sparkSession)
+    schema = f"term string, doc_id {dict(docs.dtypes)['doc_id']}, col string, tf bigint, positions array<int>"
+    return docs.select("doc_id", "title_words", "body_words").mapInArrow(_listed, schema)
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Postings of documents that share an id as one."""
+    return rows.groupBy("term", "doc_id", "col").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, col, tf, positions) sorted by term for pruning scans: one shuffle, combined before it."""
-    words = [docs.select("doc_id", F.lit(c).alias("col"), F.posexplode(f"{c}_words").alias("pos", "term")) for c in ("title", "body")]
-    made = reduce(DataFrame.unionByName, words).groupBy("term", "doc_id", "col").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return made
+    """(term, doc_id, col, tf, positions) of documents."""
+    return _merged(listed(docs).where("term IS NOT NULL"))
 
 
-def write_index(docs: DataFrame, path: str) -> None:
-    """Write postings and documents; postings are range-partitioned and sorted by term, so a query opens few row groups.
+def by_term(rows: DataFrame) -> DataFrame:
+    """Postings in ranges of terms, sorted, so that a query opens few row groups."""
+    return rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+
 
-    The texts are read into words once: lengths of documents are sums over the postings.
+def written_words(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, lengths, table): the texts are read into words once and written; the caller forgets the table.
+
+    Only documents that share an id need a grouping, all others are grouped where they are read.
     """
-    postings(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    stored, _ = read_index(docs.sparkSession, path, lengths=False)
-    lengths = docs.select("doc_id").join(stored.groupBy("doc_id").agg(F.sum("tf").alias("length")), "doc_id", "left")
-    lengths.select("doc_id", F.coalesce("length", F.lit(0)).alias("length")).write.mode("overwrite").parquet(f"{path}/documents")
+    table = steps.written(listed(docs), "words")
+    words, lengths = table.where("term IS NOT NULL"), table.where("term IS NULL").select("doc_id", F.col("tf").alias("length"))
+    shared = lengths.groupBy("doc_id").count().where("count > 1")
+    return words if shared.isEmpty() else _merged(words), lengths, table
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    """Write postings and documents; postings are range-partitioned and sorted by term, so a query opens few row groups."""
+    words, lengths, table = written_words(docs)
+    by_term(words).write.mode("overwrite").parquet(f"{path}/postings")
+    lengths.write.mode("overwrite").parquet(f"{path}/documents")
+    steps.forget(table)
 
 
 def read_index(spark: SparkSession, path: str, lengths: bool = True) -> tuple[DataFrame, DataFrame | None]:
@@ -87,12 +139,12 @@ def _term(word: str, prefix: bool) -> Column:
 
 def _phrase_rows(found: DataFrame, words) -> DataFrame:
     """(doc_id, col, tf) of the places where the words follow each other."""
-    # Documents that have all the words come first; only their positions are laid side by side.
-    whole = found.groupBy("doc_id", "col").agg(F.countDistinct("term").alias("n")).where(F.col("n") == len(set(words))).select("doc_id", "col")
-    found = found.join(whole, ["doc_id", "col"])
-    starts = [found.where(F.col("term") == w).select("doc_id", "col", F.explode("positions").alias("p")).select("doc_id", "col", (F.col("p") - k).alias("p"), F.lit(k).alias("k")) for k, w in enumerate(words)]
-    whole = reduce(DataFrame.unionByName, starts).groupBy("doc_id", "col", "p").agg(F.countDistinct("k").alias("n")).where(F.col("n") == len(words))
-    return whole.groupBy("doc_id", "col").agg(F.count("*").alias("tf"))
+    names = {w: f"p{i}" for i, w in enumerate(dict.fromkeys(words))}
+    rows = found.groupBy("doc_id", "col").agg(*[F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(n) for w, n in names.items()])
+    back = lambda places, k: F.transform(places, lambda p: p - k)
+    starts = [back(names[w], k) for k, w in enumerate(words)]
+    rows = rows.where(reduce(Column.__and__, [F.col(n).isNotNull() for n in names.values()]))
+    return rows.select("doc_id", "col", F.size(reduce(F.array_intersect, starts)).cast("long").alias("tf")).where("tf > 0")
 
 
 def term_weights(index: DataFrame, query: Query) -> DataFrame:
